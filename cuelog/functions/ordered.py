@@ -62,6 +62,11 @@ def last_known(expr: Column) -> Scan:
     return Scan("last_known", expr)
 
 
+def known_before(expr: Column) -> Scan:
+    """Latest non-NULL value on an earlier row."""
+    return Scan("known_before", expr)
+
+
 def next_known(expr: Column) -> Scan:
     """Earliest non-NULL value on a later row."""
     return Scan("next_known", expr)
@@ -72,14 +77,22 @@ def every(column: str, width: float) -> Column:
     return F.floor(F.col(column) / F.lit(width)).cast("bigint")
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column,
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column | str,
                  **scans: Scan) -> DataFrame:
     """Add one column per scan, computed over ``keys`` in ascending ``order``.
 
-    ``block`` must not decrease along ``order``; ``keys`` must not be NULL.
+    ``block`` must not decrease along ``order``; ``keys`` must not be NULL.  Given
+    as a column name it stays in the result, and a second scan over the same
+    column needs no new shuffle of the rows.
     """
-    rows = df.withColumn(BLOCK, block)
-    within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    name = block if isinstance(block, str) else BLOCK
+    rows = df if isinstance(block, str) else df.withColumn(BLOCK, block)
+    return _scan(rows, keys, order, name, df.columns, scans)
+
+
+def _scan(rows: DataFrame, keys: list[str], order: list[str], block: str, keep: list[str],
+          scans: dict[str, Scan]) -> DataFrame:
+    within = Window.partitionBy(*keys, block).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     after = within.rowsBetween(1, Window.unboundedFollowing)
@@ -89,7 +102,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column
     per_block: list[Column] = []
     over_blocks: dict[str, Column] = {}
     final: dict[str, Column] = {}
-    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    blocks = Window.partitionBy(*keys).orderBy(block)
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     later = blocks.rowsBetween(1, Window.unboundedFollowing)
 
@@ -128,6 +141,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column
             per_block.append(F.max_by(e, F.when(e.isNotNull(), place)).alias(total))
             over_blocks[carry] = F.last(total, ignorenulls=True).over(earlier)
             final[name] = F.coalesce(F.col(here), F.col(carry))
+        elif scan.kind == "known_before":
+            per_row[here] = F.last(e, ignorenulls=True).over(before)
+            per_block.append(F.max_by(e, F.when(e.isNotNull(), place)).alias(total))
+            over_blocks[carry] = F.last(total, ignorenulls=True).over(earlier)
+            final[name] = F.coalesce(F.col(here), F.col(carry))
         elif scan.kind == "next_known":
             per_row[here] = F.first(e, ignorenulls=True).over(after)
             per_block.append(F.min_by(e, F.when(e.isNotNull(), place)).alias(total))
@@ -136,9 +154,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column
         else:
             raise ValueError(scan.kind)
 
-    carried = (rows.groupBy(*keys, BLOCK).agg(*per_block)
-               .select(*keys, BLOCK, *[c.alias(n) for n, c in over_blocks.items()]))
+    carried = (rows.groupBy(*keys, block).agg(*per_block)
+               .select(*keys, block, *[c.alias(n) for n, c in over_blocks.items()]))
     local = rows.select("*", *[c.alias(n) for n, c in per_row.items()])
-    joined = local.join(carried, [*keys, BLOCK], "left")
-    kept = [F.col(c) for c in df.columns if c not in final]
-    return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
+    joined = local.join(carried, [*keys, block], "left")
+    return joined.select(*[F.col(c) for c in keep if c not in final], *[c.alias(n) for n, c in final.items()])

@@ -63,38 +63,47 @@ def detect_language(chunks: DataFrame, stop_langs: list[str] = ("ru",)) -> DataF
         F.col("_stop").isNotNull().alias("early_stop"))
 
 
-def repeat_runs(segments: DataFrame) -> DataFrame:
-    """Runs of neighbours with the same words; empty text never repeats."""
-    words = segments.withColumn("_norm", word_normalize("text"))
-    block = o.every("start", HOUR)
-    prior = o.ordered_scan(words, KEY, ORDER, block, _prev=o.previous(F.col("_norm")))
+def _mark_runs(segments: DataFrame) -> DataFrame:
+    words = segments.withColumn("_norm", word_normalize("text")).withColumn("_hour", o.every("start", HOUR))
+    prior = o.ordered_scan(words, KEY, ORDER, "_hour", _prev=o.previous(F.col("_norm")))
     flagged = prior.withColumn("is_repeat", F.coalesce(
         (F.col("_norm") != "") & (F.col("_norm") == F.col("_prev")), F.lit(False)))
-    runs = o.ordered_scan(flagged, KEY, ORDER, block, run_id=o.running_sum(
+    return o.ordered_scan(flagged, KEY, ORDER, "_hour", run_id=o.running_sum(
         F.when(F.col("is_repeat"), 0).otherwise(1).cast("bigint")))
+
+
+def repeat_runs(segments: DataFrame) -> DataFrame:
+    """Runs of neighbours with the same words; empty text never repeats."""
+    runs = _mark_runs(segments)
     sizes = runs.groupBy("media_id", "run_id").agg(F.count(F.when(F.col("_norm") != "", 1)).alias("run_len"))
-    return runs.drop("_norm", "_prev").join(sizes, ["media_id", "run_id"])
+    return runs.drop("_norm", "_prev", "_hour").join(sizes, ["media_id", "run_id"])
 
 
 def asr_quality(segments: DataFrame, warn_run: int = 3, warn_ratio: float = 0.25) -> DataFrame:
-    """Recognition-quality counts per media."""
+    """Recognition-quality counts per media: summed per run first, then per media."""
     def over(column: str, limit: float):
         value = F.col(column)
         return F.coalesce(~F.isnan(value) & (value > limit), F.lit(False))
 
     low = F.coalesce(~F.isnan("avg_logprob") & (F.col("avg_logprob") < -0.9), F.lit(False))
     dense = over("compression_ratio", 2.4)
-    runs = repeat_runs(segments)
+    counts = {
+        "segments": F.lit(True),
+        "word_timed_segments": F.coalesce(F.size("words"), F.lit(0)) > 0,
+        "low_logprob_segments": low,
+        "high_compression_segments": dense,
+        "high_no_speech_segments": over("no_speech_prob", 0.6),
+        "temperature_fallback_segments": over("temperature", 0.5),
+        "repeated_adjacent_segments": F.col("is_repeat"),
+        "_suspicious": low | dense,
+        "_run": F.col("_norm") != "",
+    }
+    runs = _mark_runs(segments).groupBy("media_id", "run_id").agg(
+        *[F.count_if(test).alias(name) for name, test in counts.items()])
+    ratio = F.bround(F.sum("_suspicious") / F.sum("segments"), 4)
     return runs.groupBy("media_id").agg(
-        F.count(F.lit(1)).alias("segments"),
-        F.count_if(F.coalesce(F.size("words"), F.lit(0)) > 0).alias("word_timed_segments"),
-        F.count_if(low).alias("low_logprob_segments"),
-        F.count_if(dense).alias("high_compression_segments"),
-        F.count_if(over("no_speech_prob", 0.6)).alias("high_no_speech_segments"),
-        F.count_if(over("temperature", 0.5)).alias("temperature_fallback_segments"),
-        F.count_if("is_repeat").alias("repeated_adjacent_segments"),
-        F.max("run_len").alias("longest_repeat_run"),
-        F.bround(F.count_if(low | dense) / F.count(F.lit(1)), 4).alias("suspicious_ratio"),
+        *[F.sum(name).alias(name) for name in counts if not name.startswith("_")],
+        F.max("_run").alias("longest_repeat_run"), ratio.alias("suspicious_ratio"),
     ).withColumn("warn", (F.col("longest_repeat_run") >= warn_run) | (F.col("suspicious_ratio") >= warn_ratio))
 
 
@@ -191,9 +200,10 @@ def pace_requests(requests: DataFrame, interval: float = 0.35) -> DataFrame:
 
     grant(i) = max over j <= i of arrival(j) + interval * (i - j).
     """
-    block = o.every("arrival", 600)
-    numbered = o.ordered_scan(requests, ["service"], ["arrival", "ord"], block, _i=o.row_number())
-    lead = o.ordered_scan(numbered, ["service"], ["arrival", "ord"], block,
+    order = ["arrival", "ord"]
+    calls = requests.withColumn("_block", o.every("arrival", 600))
+    numbered = o.ordered_scan(calls, ["service"], order, "_block", _i=o.row_number())
+    lead = o.ordered_scan(numbered, ["service"], order, "_block",
                           _m=o.running_max(F.col("arrival") - interval * F.col("_i")))
     return (lead.withColumn("granted_at", F.col("_m") + interval * F.col("_i"))
-            .withColumn("wait", F.col("granted_at") - F.col("arrival")).drop("_i", "_m"))
+            .withColumn("wait", F.col("granted_at") - F.col("arrival")).drop("_i", "_m", "_block"))

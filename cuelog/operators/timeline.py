@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ordered as o
 from ..functions.greedy import greedy_groups
 from ..functions.numbers import edge_rate, finite
+from ..session import cut_lineage
 from .segments import HOUR, KEY, ORDER, speech_boundaries
 
 MIN_PAUSE = 0.035
@@ -116,12 +117,20 @@ def merge_nearby_pauses(pauses: DataFrame, segments: DataFrame, media: DataFrame
                         max_distance: float = 0.30) -> DataFrame:
     """Join pauses at most ``max_distance`` apart with no speech boundary between them."""
     clean = sanitize_pauses(pauses, media)
-    pairs = o.ordered_scan(clean, KEY, ["at"], o.every("at", HOUR), left=o.previous(F.col("at")))
-    pairs = pairs.withColumn("left", F.coalesce("left", F.lit(-1e9))).withColumn("right", F.col("at"))
-    flagged = has_boundary_between(pairs, speech_boundaries(segments))
-    new = (F.col("right") - F.col("left") > max_distance) | F.col("boundary_between")
-    grouped = o.ordered_scan(flagged, KEY, ["at"], o.every("at", HOUR),
-                             _g=o.running_sum(F.when(new, 1).otherwise(0).cast("bigint")))
+    # pauses and boundaries on one axis: each pause sees the pause and the boundary before it
+    eps = 0.001
+    stops = clean.select("media_id", (F.col("at") - eps).alias("_pos"), F.lit(0).alias("_kind"),
+                         F.lit(None).cast("double").alias("_b"), "at", "duration", "segments")
+    marks = speech_boundaries(segments).select("media_id", F.col("boundary").alias("_pos"), F.lit(1).alias("_kind"),
+                                               F.col("boundary").alias("_b"))
+    line = stops.unionByName(marks, allowMissingColumns=True).withColumn("_hour", o.every("_pos", HOUR))
+    seen = o.ordered_scan(line, KEY, ["_pos", "_kind"], "_hour", _left=o.known_before(F.col("at")),
+                          _mark=o.known_before(F.col("_b")))
+    joinable = (F.col("at") - F.col("_left") <= max_distance) & ~F.coalesce(
+        F.col("_mark") > F.col("_left") + eps, F.lit(False))
+    fresh = cut_lineage(seen.filter("_kind = 0").withColumn("_new", F.when(F.coalesce(joinable, F.lit(False)), 0)
+                                                            .otherwise(1).cast("bigint")))
+    grouped = o.ordered_scan(fresh, KEY, ["at"], "_hour", _g=o.running_sum(F.col("_new")))
     parts = F.array_sort(F.collect_list(F.struct("at", "segments")))
     merged = grouped.groupBy("media_id", F.col("_g").alias("ord")).agg(
         F.max("at").alias("at"), F.sum("duration").alias("duration"),

@@ -215,15 +215,15 @@ def _(spark, sf):
         "pause_extra", "freeze_at", "shifted_start")])
 
 
-PAUSES = "SELECT media_id, ord, freeze_at AS at, pause_extra AS duration FROM v_placed WHERE pause_extra > 0"
+PAUSES = 'SELECT media_id, ord, freeze_at AS "at", pause_extra AS duration FROM v_placed WHERE pause_extra > 0'
 SANITIZED = """
-    pnum AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY at, ord) AS rn FROM pauses),
-    pwalk AS (SELECT media_id, rn, 1::BIGINT AS grp, at AS anchor FROM pnum WHERE rn = 1
+    pnum AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY "at", ord) AS rn FROM pauses),
+    pwalk AS (SELECT media_id, rn, 1::BIGINT AS grp, "at" AS anchor FROM pnum WHERE rn = 1
         UNION ALL
-        SELECT n.media_id, n.rn, CASE WHEN abs(w.anchor - n.at) < {within} THEN grp ELSE grp + 1 END,
-               CASE WHEN abs(w.anchor - n.at) < {within} THEN anchor ELSE n.at END
+        SELECT n.media_id, n.rn, CASE WHEN abs(w.anchor - n."at") < {within} THEN grp ELSE grp + 1 END,
+               CASE WHEN abs(w.anchor - n."at") < {within} THEN anchor ELSE n."at" END
         FROM pwalk w JOIN pnum n ON n.media_id = w.media_id AND n.rn = w.rn + 1),
-    clean AS (SELECT w.media_id, min(at) AS at, sum(duration) AS duration, string_agg(ord, ',' ORDER BY n.rn) AS segments
+    clean AS (SELECT w.media_id, min("at") AS "at", sum(duration) AS duration, string_agg(ord, ',' ORDER BY n.rn) AS segments
               FROM pwalk w JOIN pnum n USING (media_id, rn) GROUP BY w.media_id, grp)
 """
 
@@ -234,7 +234,7 @@ def _after_views(body: str, steps: str, *views: str, **more: str) -> str:
 
 
 @register("sanitize_pauses", _after_views("""
-    SELECT media_id, round(at, 3) AS at, round(duration, 3) AS duration, segments FROM clean""",
+    SELECT media_id, round("at", 3) AS "at", round(duration, 3) AS duration, segments FROM clean""",
     SANITIZED.format(within="1.5e0"), "v_placed", pauses=PAUSES))
 def _(spark, sf):
     clean = tl.sanitize_pauses(_raw_pauses(spark, sf), v.v_media(spark, sf), within=1.5)
@@ -244,17 +244,17 @@ def _(spark, sf):
 
 MERGED = SANITIZED.format(within="0.02e0") + """,
     bounds AS (SELECT media_id, "start" AS b FROM v_seg UNION SELECT media_id, "end" FROM v_seg),
-    pairs AS (SELECT *, lag(at) OVER (PARTITION BY media_id ORDER BY at) AS prev FROM clean),
-    cut AS (SELECT *, prev IS NULL OR at - prev > 2.5e0 OR EXISTS (SELECT 1 FROM bounds WHERE bounds.media_id = pairs.media_id
-            AND b > prev + 0.001e0 AND b < at - 0.001e0) AS fresh FROM pairs),
-    grouped AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY at) AS g FROM cut),
-    final AS (SELECT media_id, max(at) AS at, sum(duration) AS duration, string_agg(segments, ',' ORDER BY grouped.at) AS segments
+    pairs AS (SELECT *, lag("at") OVER (PARTITION BY media_id ORDER BY "at") AS prev FROM clean),
+    cut AS (SELECT *, prev IS NULL OR "at" - prev > 2.5e0 OR EXISTS (SELECT 1 FROM bounds WHERE bounds.media_id = pairs.media_id
+            AND b > prev + 0.001e0 AND b < "at" - 0.001e0) AS fresh FROM pairs),
+    grouped AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY "at") AS g FROM cut),
+    final AS (SELECT media_id, max("at") AS "at", sum(duration) AS duration, string_agg(segments, ',' ORDER BY grouped."at") AS segments
               FROM grouped GROUP BY media_id, g)
 """
 
 
 @register("merge_nearby_pauses", _after_views("""
-    SELECT media_id, round(at, 3) AS at, round(duration, 3) AS duration, segments FROM final""",
+    SELECT media_id, round("at", 3) AS "at", round(duration, 3) AS duration, segments FROM final""",
     MERGED, "v_placed", pauses=PAUSES))
 def _(spark, sf):
     merged = tl.merge_nearby_pauses(_raw_pauses(spark, sf), v.v_seg(spark, sf), v.v_media(spark, sf), max_distance=2.5)
@@ -265,7 +265,7 @@ def _(spark, sf):
 @register("pause_summary", _after_views("""
     SELECT m.media_id, coalesce(b, 0) AS before, coalesce(n, 0) AS pause_count,
         greatest(0, coalesce(b, 0) - coalesce(n, 0)) AS merged, round(coalesce(total, 0e0), 3) AS total_pause_sec,
-        round(coalesce(total, 0e0) / video_dur, 4) AS pause_ratio, coalesce(sev, 0) AS severe_pause_count,
+        round(coalesce(total, 0e0) / video_dur, 5) AS pause_ratio, coalesce(sev, 0) AS severe_pause_count,
         round(coalesce(mx, 0e0), 3) AS max_pause_sec
     FROM v_media m LEFT JOIN (SELECT media_id, count(*) AS b FROM clean GROUP BY 1) USING (media_id)
     LEFT JOIN (SELECT media_id, count(*) AS n, sum(duration) AS total, max(duration) AS mx,
@@ -276,7 +276,7 @@ def _(spark, sf):
     raw = _raw_pauses(spark, sf)
     merged = tl.merge_nearby_pauses(raw, v.v_seg(spark, sf), media, max_distance=2.5)
     out = tl.pause_summary(tl.sanitize_pauses(raw, media), merged, media)
-    return out.withColumn("pause_ratio", F.round("pause_ratio", 4))
+    return out
 
 
 @register("has_boundary_between", with_views("""
@@ -291,7 +291,7 @@ def _(spark, sf):
 
 @register("shift_by_pauses", with_views("""
     SELECT media_id, ord, round("end" + coalesce((SELECT sum(duration) FROM pauses p WHERE p.media_id = s.media_id
-        AND p.at <= s."end" + 1e-6), 0e0), 3) AS shifted FROM v_seg s""", "v_placed", pauses=PAUSES))
+        AND p."at" <= s."end" + 1e-6), 0e0), 3) AS shifted FROM v_seg s""", "v_placed", pauses=PAUSES))
 def _(spark, sf):
     points = v.v_seg(spark, sf).select("media_id", "ord", "end")
     moved = tl.shift_by_pauses(points, _raw_pauses(spark, sf), "end")
@@ -299,8 +299,8 @@ def _(spark, sf):
 
 
 @register("top_pauses", with_views("""
-    SELECT media_id, round(at, 3) AS at, round(duration, 3) AS duration, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY duration DESC, at) AS rank FROM pauses
+    SELECT media_id, round("at", 3) AS "at", round(duration, 3) AS duration, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY duration DESC, "at") AS rank FROM pauses
         WHERE duration >= 1) WHERE rank <= 3""", "v_placed", pauses=PAUSES))
 def _(spark, sf):
     best = tl.top_pauses(_raw_pauses(spark, sf), min_sec=1.0, k=3)
@@ -341,11 +341,11 @@ STAMP = ("lpad(CAST(ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms //
     FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY "start", ord) AS seq,
             CAST(round_even(s * 1000, 0) AS BIGINT) AS s_ms,
             CAST(round_even(CASE WHEN e <= s THEN s + 0.08e0 ELSE e END * 1000, 0) AS BIGINT) AS e_ms FROM (
-        SELECT *, "start" + coalesce((SELECT sum(duration) FROM pauses p WHERE p.media_id = g.media_id AND p.at <= g."start" + 1e-6), 0e0) AS s,
-               "end" + coalesce((SELECT sum(duration) FROM pauses p WHERE p.media_id = g.media_id AND p.at <= g."end" + 1e-6), 0e0) AS e,
+        SELECT *, "start" + coalesce((SELECT sum(duration) FROM pauses p WHERE p.media_id = g.media_id AND p."at" <= g."start" + 1e-6), 0e0) AS s,
+               "end" + coalesce((SELECT sum(duration) FROM pauses p WHERE p.media_id = g.media_id AND p."at" <= g."end" + 1e-6), 0e0) AS e,
                regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM v_seg g) WHERE t <> '')
     GROUP BY media_id, (seq - 1) // 3""", "v_seg",
-    pauses="""SELECT media_id, "end" AS at, 0.125e0 * (1 + length(text) % 7) AS duration FROM v_seg WHERE length(text) > 300"""))
+    pauses="""SELECT media_id, "end" AS "at", 0.125e0 * (1 + length(text) % 7) AS duration FROM v_seg WHERE length(text) > 300"""))
 def _(spark, sf):
     seg = v.v_seg(spark, sf)
     pauses = seg.filter("length(text) > 300").select(
