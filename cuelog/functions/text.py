@@ -37,6 +37,16 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(body, **values: Column) -> Column:
+    """``body(v)`` with the values computed once.
+
+    An expression used inside a lambda is evaluated for every element; held in
+    the one element of an outer array it is evaluated once per row.
+    """
+    held = F.array(F.struct(*[value.alias(name) for name, value in values.items()]))
+    return F.get(F.transform(held, lambda v: body(v)), F.lit(0))
+
+
 def strip(text) -> Column:
     """Trim every kind of white space, not only blanks; NULL becomes ''."""
     text = F.coalesce(_col(text), F.lit(""))
@@ -142,15 +152,18 @@ def tokens_preserved(source: Column, target: Column) -> Column:
     """True if no token of ``source`` occurs less often in ``target``."""
     def count(tokens, token):
         return F.size(F.filter(tokens, lambda t: t == token))
-    return F.forall(F.array_distinct(source), lambda t: count(source, t) <= count(target, t))
+    return let(lambda v: F.forall(F.array_distinct(v["s"]), lambda t: count(v["s"], t) <= count(v["t"], t)),
+               s=source, t=target)
 
 
 def shared_words(source_words: Column, target_words: Column, allowed: list[str]) -> Column:
     """Target words (repeats kept) that also are source words and not allowed."""
     allow = F.array(*[F.lit(w) for w in allowed]) if allowed else F.array().cast("array<string>")
-    lower = F.transform(source_words, lambda w: F.lower(w))
-    return F.filter(target_words, lambda w: F.array_contains(lower, F.lower(w))
-                    & ~F.array_contains(allow, F.lower(w)) & (F.length(w) > 3))
+    # the intersection is built by hashing; what remains to look through is short
+    shared = F.array_except(F.array_intersect(F.transform(source_words, lambda w: F.lower(w)),
+                                              F.transform(target_words, lambda w: F.lower(w))), allow)
+    return let(lambda v: F.filter(v["words"], lambda w: (F.length(w) > 3) & F.array_contains(v["shared"], F.lower(w))),
+               words=target_words, shared=shared)
 
 
 def script_chars(text, pattern: str) -> Column:

@@ -67,7 +67,7 @@ def v_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("pair_id"), F.col("source").alias("media_id"), source.alias("source"),
         F.expr(f"""CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 5 = 0 THEN translate(text, '3', '4')
                    WHEN doc_id % 13 = 0 THEN '{ERROR_PAGE}' WHEN doc_id % 7 = 0 THEN 'ok'
-                   WHEN doc_id % 4 = 0 THEN upper(concat(text, ' ', coalesce(url, '')))
+                   WHEN doc_id % 4 = 0 THEN lower(concat(text, ' ', coalesce(url, '')))
                    ELSE concat(text, ' ', coalesce(url, '')) END""").alias("translated"),
         F.col("lang").alias("source_lang"),
         F.expr("CASE WHEN doc_id % 2 = 0 THEN 'ru' ELSE lang END").alias("target_lang"))
@@ -89,9 +89,9 @@ def v_ckpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoint entries for what the assistant said, some holding an error page."""
     from ..functions.keys import segment_key
     return v_seg(spark, sf_dir).filter("role <> 'user'").select(
-        segment_key("start", "end", "text").alias("key"),
+        "media_id", segment_key("start", "end", "text").alias("key"),
         F.expr("""CASE WHEN (media_id + ord) % 7 = 0 THEN 'Error 503 Service Unavailable'
-                  ELSE upper(text) END""").alias("translated"),
+                  ELSE lower(text) END""").alias("translated"),
         F.lit(0).alias("ord"))
 
 
@@ -212,7 +212,7 @@ SQL: dict[str, str] = {
         CASE WHEN url IS NULL THEN text ELSE text || ' ' || url END AS source,
         CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 5 = 0 THEN replace(text, '3', '4')
              WHEN doc_id % 13 = 0 THEN '{ERROR_PAGE}' WHEN doc_id % 7 = 0 THEN 'ok'
-             WHEN doc_id % 4 = 0 THEN upper(text || ' ' || coalesce(url, ''))
+             WHEN doc_id % 4 = 0 THEN lower(text || ' ' || coalesce(url, ''))
              ELSE text || ' ' || coalesce(url, '') END AS translated, lang AS source_lang,
         CASE WHEN doc_id % 2 = 0 THEN 'ru' ELSE lang END AS target_lang
         FROM documents LEFT JOIN (SELECT page_id AS doc_id, url FROM pages) USING (doc_id)""",
@@ -224,8 +224,8 @@ SQL: dict[str, str] = {
         CASE WHEN doc_id % 4 = 0 THEN text || ' about a server error' ELSE text END AS source FROM documents""",
     "v_key": r"""SELECT *, sha256(printf('%.3f', "start") || chr(10) || printf('%.3f', "end") || chr(10)
         || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS segment_key FROM v_seg""",
-    "v_ckpt": """SELECT segment_key AS key, CASE WHEN (media_id + ord) % 7 = 0 THEN 'Error 503 Service Unavailable'
-        ELSE upper(text) END AS translated FROM v_key WHERE role <> 'user'""",
+    "v_ckpt": """SELECT media_id, segment_key AS key, CASE WHEN (media_id + ord) % 7 = 0 THEN 'Error 503 Service Unavailable'
+        ELSE lower(text) END AS translated FROM v_key WHERE role <> 'user'""",
     "v_gloss": """SELECT w AS source_term, upper(w) AS target_term FROM (
         SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark)
         WHERE length(w) > 2 GROUP BY w ORDER BY n DESC, w LIMIT 50)""",
