@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _col, normalize_tts_text, strip
 
@@ -17,7 +18,7 @@ def segment_key(start, end, text) -> Column:
     return F.sha2(F.concat_ws("\n", *times, strip(text)), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def segment_key_exact(start: pd.Series, end: pd.Series, text: pd.Series) -> pd.Series:
     """The same key with Python's float printing, for checkpoints written elsewhere
     (the two differ only where a time ends in an exact half of a millisecond)."""

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import (AUTHORIZATION, CLIENT_TOKEN, CONNECTION_ID, COOKIE, CUT_MARK, HIDDEN, KEY_OR_TOKEN,
                    LABELLED_URL_QUERY, SECRET_KEY, URL_QUERY)
@@ -23,7 +24,7 @@ VOLATILE_KEYS = {
 # ---- end of fixed values ----
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity ratio of two texts."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
@@ -78,19 +79,19 @@ def _each(texts: pd.Series, change) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_details(texts: pd.Series) -> pd.Series:
     """Redacted copy of a JSON text: secret keys, text values, depth and list limits."""
     return _each(texts, lambda node: _redact_node(node, 0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def signature_details(texts: pd.Series) -> pd.Series:
     """Stable form of a JSON text: volatile keys dropped, keys sorted, values normalised."""
     return _each(texts, _signature_node)
 
 
-@F.udtf(returnType="part_no int, part string")
+@F.udtf(returnType=T.StructType().add("part_no", T.IntegerType()).add("part", T.StringType()))
 class SplitText:
     """One row per part of a long text, for lateral joins."""
 

@@ -167,7 +167,7 @@ def _(spark, sf):
     "v_req"))
 def _(spark, sf):
     calls = v.v_req(spark, sf).select("service", F.col("seq").alias("ord"),
-                                      F.unix_timestamp(F.date_trunc("hour", "ts")).cast("double").alias("arrival"))
+                                      F.expr("cast(timestampdiff(SECOND, timestamp'1970-01-01 00:00:00', date_trunc('hour', ts)) AS double)").alias("arrival"))
     paced = sg.pace_requests(calls, interval=0.5)
     return paced.select("service", "ord", F.round("granted_at", 3).alias("granted_at"), F.round("wait", 3).alias("wait"))
 

@@ -107,7 +107,7 @@ def v_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a problem log with its hot details as columns."""
     ev = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     return ev.select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("sequence"), "ts",
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("ts"),
         F.expr("CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END").alias("level"),
         F.expr("""CASE event_type
             WHEN 'error' THEN element_at(array('translation_retry', 'tts_segment_failed', 'ffmpeg_mux_failed',
@@ -133,7 +133,7 @@ def v_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_req(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as calls to five services."""
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 5).alias("service"), "ts", F.col("event_id").alias("seq"),
+        (F.col("user_id") % 5).alias("service"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
         F.expr("CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'request' END").alias("kind"),
         F.expr("CASE WHEN event_type = 'error' THEN CASE WHEN value < 30 THEN 'rate_limit' ELSE 'timeout' END END").alias("reason"))
 
@@ -165,7 +165,7 @@ def v_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("""CASE WHEN l_partkey % 10 = 0 THEN ''
                   ELSE concat('out/', l_orderkey, '_', l_linenumber, '.mp4') END""").alias("output_path"),
         F.expr("CASE WHEN l_suppkey % 10 <> 0 THEN cast(floor(l_extendedprice) AS bigint) END").alias("size"),
-        F.expr("unix_timestamp(l_shipdate)").alias("modified"), F.col("l_quantity").alias("elapsed_sec"))
+        F.expr("cast(datediff(l_shipdate, date'1970-01-01') AS bigint) * 86400").alias("modified"), F.col("l_quantity").alias("elapsed_sec"))
 
 
 def v_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def v_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("root"), F.expr("concat(l_orderkey, '-', l_linenumber)").alias("key"),
         F.expr("""CASE WHEN l_linestatus = 'O' THEN '.json' WHEN l_returnflag = 'R' THEN '.wav'
                   ELSE '.mp3' END""").alias("suffix"),
-        F.expr("cast(l_quantity * 1000 AS bigint)").alias("size"), F.expr("unix_timestamp(l_shipdate)").alias("mtime"),
+        F.expr("cast(l_quantity * 1000 AS bigint)").alias("size"), F.expr("cast(datediff(l_shipdate, date'1970-01-01') AS bigint) * 86400").alias("mtime"),
         F.expr("CASE WHEN l_returnflag = 'R' THEN 'prepared_wav_2' ELSE 'edge_tts' END").alias("provider"))
 
 
