@@ -1 +1,153 @@
-"""Queries."""
+"""One query per scalar function, over the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions import classify, keys, numbers as nb, text as tx, udfs
+from . import views as v
+from .registry import register
+from .views import with_views
+
+
+def _over(name: str, base: str, ids: list[str], value: Callable[[], Column], sql: str | None, where: str = "") -> None:
+    """Register ``value`` over a table or view; ``sql`` is the same value as an expression."""
+    text = None
+    if sql is not None:
+        body = f"SELECT {', '.join(ids)}, {sql} AS result FROM {base}"
+        text = with_views(body, base) if base.startswith("v_") else body
+
+    @register(name, text)
+    def _(spark, sf):
+        rows = getattr(v, base)(spark, sf) if base.startswith("v_") else v.table(spark, sf, base)
+        return rows.select(*ids, value().alias("result"))
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+DOC = ["doc_id"]
+PAIR = ["pair_id"]
+EVENT = ["session_id", "sequence"]
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+COLLAPSED = STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")
+
+# ---- text
+_over("normalize_tts_text", "documents", DOC, lambda: tx.normalize_tts_text("text"), STRIP.format(
+    r"regexp_replace(regexp_replace(regexp_replace(" + COLLAPSED + r", '[—–]', ', ', 'g'), '\s+([,.!?;:])', '\1', 'g'), '([,.!?;:]){3,}', '\1', 'g')"))
+_over("safe_log_filename", "pages", ["page_id"], lambda: tx.safe_log_filename("url"), "coalesce(nullif(trim(trim(regexp_replace(url, '[^0-9A-Za-zА-Яа-яЁё._-]+', '_', 'g'), '._-')[1:80], '._-'), ''), 'session')")
+_over("safe_code", "pages", ["page_id"], lambda: tx.safe_code("url"), r"coalesce(nullif(trim(regexp_replace(url, '[^\pL\pN_-]', '_', 'g'), '_-'), ''), 'auto')")
+_over("redact", "v_ev", EVENT, lambda: tx.redact(F.concat("message", F.lit("\nAuthorization: Bearer abc "), F.lit("api_key=x"), F.col("sequence").cast("string"), F.lit("; cookie: a=b; c=d\nend"))),
+      r"regexp_replace(message, '(https://[^? ]+)\?[^ ]*', '\1?...') || chr(10) || 'Authorization: <скрыто> api_key=<скрыто>; cookie: <скрыто>' || chr(10) || 'end'")
+_over("compact_error", "v_ev", EVENT, lambda: tx.compact_error(F.concat("message", F.lit("\n TrustedClientToken=abc&x "), F.rpad(F.lit("z"), 400, "z"))),
+      r"""substr(regexp_replace(ltrim(regexp_replace(message, '(https://[^? ]+)\?[^ ]*', '\1?...') || ' ') || 'TrustedClientToken=...&x ' || repeat('z', 400), '\s+', ' ', 'g'), 1, 357) || '...'""")
+_over("preview", "documents", DOC, lambda: tx.preview("text"), rf"CASE WHEN length({COLLAPSED}) > 320 THEN regexp_replace(substr({COLLAPSED}, 1, 317), '\s+$', '') || '...' ELSE {COLLAPSED} END")
+_over("signature_text", "v_ev", EVENT, lambda: tx.signature_text("message"), r"regexp_replace(regexp_replace(lower(message), 'https://[^ ]+', '<url>'), '\b\d+\b', '<n>', 'g')")
+_over("word_normalize", "documents", DOC, lambda: F.md5(tx.word_normalize("text")), r"md5(array_to_string(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'), ' '))")
+_over("numeric_tokens", "documents", DOC, lambda: F.array_join(tx.numeric_tokens("text"), ","),
+      r"array_to_string([regexp_replace(t, '[^0-9]', '', 'g') FOR t IN regexp_extract_all(text, '\d+(?:(?:[.,:/-]\d+)|(?:[ \x{00A0}]\d{3}))*')], ',')")
+_over("protected_tokens", "v_pair", PAIR, lambda: F.array_join(tx.protected_tokens("source"), ","),
+      r"array_to_string([lower(rtrim(t, '.,;:!?)]}')) FOR t IN regexp_extract_all(source, '(?i)(?:https?://[^\s<>]+|www\.[^\s<>]+|[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})')], ',')")
+_over("cyrillic_share", "documents", DOC, lambda: F.round(tx.cyrillic_share(F.translate("text", "aeo", "аео")), 4),
+      r"round(length(regexp_replace(text, '[^aeo]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^\pL]', '', 'g'))), 4)")
+_over("source_script_chars", "documents", DOC, lambda: tx.source_script_chars(F.translate("text", "ab", "你好"), F.when(F.col("lang") == "en", "zh").otherwise("el")),
+      "CASE WHEN lang = 'en' THEN length(regexp_replace(text, '[^ab]', '', 'g')) ELSE 0 END")
+_over("language_base", "documents", DOC, lambda: tx.language_base(F.concat(F.upper("lang"), F.lit("-"), F.col("source"))), "lang")
+_over("markdown_cell", "documents", DOC, lambda: F.md5(tx.markdown_cell(F.replace(F.col("text"), F.lit("e"), F.lit("|")))), r"md5(replace(replace(replace(replace(text, 'e', '|'), '|', '\|'), chr(10), ' '), chr(13), ' '))")
+
+
+@register("split_text", "SELECT doc_id, true AS lossless, true AS bounded, md5(text) AS joined FROM documents")
+def _(spark, sf):
+    parts = v.table(spark, sf, "documents").select("doc_id", "text", tx.split_text("text", 500).alias("p"))
+    return parts.select("doc_id", (F.array_join("p", "") == F.col("text")).alias("lossless"),
+                        F.forall("p", lambda x: F.length(x) <= 500).alias("bounded"), F.md5(F.array_join("p", "")).alias("joined"))
+
+
+@register("split_text_udtf", "SELECT doc_id, md5(text) AS joined FROM documents")
+def _(spark, sf):
+    docs = v.table(spark, sf, "documents")
+    parts = docs.lateralJoin(udfs.split_text_udtf(F.col("text").outer(), F.lit(500)))
+    return parts.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("part_no", "part"))), lambda p: p["part"]), "")).alias("joined"))
+
+
+# ---- numbers
+_over("finite", "lineitem", LINE, lambda: nb.finite(F.when(F.col("l_partkey") % 7 == 0, "NaN").when(F.col("l_partkey") % 5 == 0, "inf").when(
+    F.col("l_partkey") % 3 == 0, "x").otherwise(F.col("l_quantity").cast("string"))),
+    "CASE WHEN l_partkey % 7 = 0 OR l_partkey % 5 = 0 OR l_partkey % 3 = 0 THEN NULL ELSE l_quantity END")
+_over("frame_rate", "lineitem", LINE, lambda: F.round(nb.frame_rate(F.concat((F.col("l_partkey") * 1000).cast("string"), F.lit("/"), (F.col("l_suppkey") % 9).cast("string"))), 3),
+      "CASE WHEN l_suppkey % 9 > 0 AND l_partkey > 0 THEN round(l_partkey * 1000 / (l_suppkey % 9), 3) END")
+_over("fmt_time", "lineitem", LINE, lambda: nb.fmt_time("l_extendedprice"),
+      "CASE WHEN l_extendedprice < 600 THEN '0' ELSE '' END || CAST(floor(l_extendedprice) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 60 AS VARCHAR), 2, '0')")
+_over("srt_timestamp", "lineitem", LINE, lambda: nb.srt_timestamp(F.col("l_quantity") * 0.125 + F.col("l_partkey")), """
+    lpad(CAST((l_partkey * 1000 + CAST(l_quantity * 125 AS BIGINT)) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((l_partkey * 1000 + CAST(l_quantity * 125 AS BIGINT)) // 60000 % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST((l_partkey * 1000 + CAST(l_quantity * 125 AS BIGINT)) // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST((l_partkey * 1000 + CAST(l_quantity * 125 AS BIGINT)) % 1000 AS VARCHAR), 3, '0')""")
+_over("fmt_elapsed", "lineitem", LINE, lambda: nb.fmt_elapsed(F.col("l_quantity") * 100), """
+    CASE WHEN l_quantity * 100 >= 3600 THEN '1:' || lpad(CAST(CAST(l_quantity * 100 AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST(CAST(l_quantity * 100 AS BIGINT) // 60 AS VARCHAR) END
+    || ':' || lpad(CAST(CAST(l_quantity * 100 AS BIGINT) % 60 AS VARCHAR), 2, '0')""")
+_over("fmt_clock", "lineitem", LINE, lambda: nb.fmt_clock(F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS"))),
+      "CASE WHEN l_partkey % 5 = 0 THEN '—' ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END")
+_over("edge_rate", "lineitem", LINE, lambda: nb.edge_rate(F.lit(0.9) + F.col("l_quantity") * 0.0078125, 1.25),
+      "CASE WHEN 0.9e0 + l_quantity * 0.0078125e0 <= 1.04e0 THEN 0 ELSE CAST(floor(greatest(0e0, least(25e0, round_even((0.9e0 + l_quantity * 0.0078125e0 - 1e0) * 100, 0)))) AS INT) END")
+_over("tempo_chain", "lineitem", LINE, lambda: F.array_join(F.transform(nb.tempo_chain(F.col("l_quantity") * 0.125), lambda x: F.format_string("%.5f", x)), ","),
+      "CASE WHEN l_quantity * 0.125e0 > 4 THEN '2.00000,2.00000,' || printf('%.5f', least(8e0, l_quantity * 0.125e0) / 4) WHEN l_quantity * 0.125e0 > 2 THEN '2.00000,' || printf('%.5f', l_quantity * 0.125e0 / 2) WHEN l_quantity * 0.125e0 < 0.5 THEN '0.50000,' || printf('%.5f', greatest(0.25e0, l_quantity * 0.125e0) * 2) ELSE printf('%.5f', l_quantity * 0.125e0) END")
+_over("retry_delay", "lineitem", LINE, lambda: nb.retry_delay("l_linenumber"), "least(20e0, 1.5e0 * power(2e0, greatest(1, l_linenumber) - 1))")
+_over("provider_retry_delay", "lineitem", LINE, lambda: nb.provider_retry_delay(F.when(F.col("l_returnflag") == "R", "rate_limit").when(F.col("l_returnflag") == "A", "timeout").otherwise("other"), "l_linenumber"),
+      "CASE l_returnflag WHEN 'R' THEN least(60e0, l_linenumber * 8e0) WHEN 'A' THEN greatest(12e0, least(20e0, 1.5e0 * power(2e0, l_linenumber - 1))) ELSE least(20e0, 1.5e0 * power(2e0, l_linenumber - 1)) END")
+_over("tts_timeout", "documents", DOC, lambda: nb.tts_timeout("text"), "greatest(45, least(180, 45 + CAST(floor(length(text) * 0.12e0) AS INT)))")
+_over("encode_timeout", "lineitem", LINE, lambda: nb.encode_timeout("l_extendedprice", "l_linenumber"), "least(28800, greatest(3600, CAST(floor(l_extendedprice * 2.2e0 + l_linenumber * 3 + 900) AS BIGINT)))")
+_over("audio_timeout", "lineitem", LINE, lambda: nb.audio_timeout("l_extendedprice"), "least(28800, greatest(360, CAST(floor(l_extendedprice * 0.75e0 + 240) AS BIGINT)))")
+_over("storm_pause", "lineitem", LINE, lambda: nb.storm_pause("l_linenumber"), "least(60, 30 + (l_linenumber - 1) * 15)")
+_over("circuit_cooldown", "lineitem", LINE, lambda: nb.circuit_cooldown("l_quantity", "l_linenumber"), "least(l_quantity * power(2e0, least(l_linenumber - 1, 4)), 900e0)")
+_over("translation_progress", "lineitem", LINE, lambda: nb.translation_progress("l_linenumber", F.lit(8)), "30 + CAST(floor(l_linenumber / 8 * 22) AS INT)")
+_over("synthesis_progress", "lineitem", LINE, lambda: nb.synthesis_progress("l_linenumber", F.lit(8)), "55 + CAST(floor(l_linenumber / 8 * 28) AS INT)")
+
+# ---- classes and keys
+_over("error_category", "lineitem", LINE, lambda: classify.error_category(
+    F.element_at(F.array(*[F.lit(x) for x in ("TimeoutError", "FileNotFoundError", "ValueError", "PermissionError", "CalledProcessError")]), (F.col("l_partkey") % 5 + 1).cast("int")),
+    F.element_at(F.array(*[F.lit(x) for x in ("http call", "too many requests", "no such", "dns lookup", "")]), (F.col("l_suppkey") % 5 + 1).cast("int"))),
+    """CASE WHEN l_partkey % 5 = 0 THEN CASE WHEN l_suppkey % 5 = 0 THEN 'network_timeout' ELSE 'timeout' END WHEN l_suppkey % 5 = 3 THEN 'network_connection'
+       WHEN l_suppkey % 5 = 1 THEN 'rate_limit' ELSE ['file_not_found', 'valueerror', 'permission_denied', 'subprocess_failed'][l_partkey % 5] END""")
+_over("problem_family", "v_ev", EVENT, lambda: classify.problem_family("event"), """CASE WHEN event LIKE 'network%' THEN 'network' WHEN event LIKE 'ffmpeg%' THEN 'external_process'
+    WHEN event LIKE 'translation%' THEN 'translation' WHEN event LIKE 'tts%' THEN 'text_to_speech' WHEN event LIKE 'file%' THEN 'file_pipeline' WHEN event LIKE 'app_%' THEN 'application' ELSE 'runtime' END""")
+_over("segment_key", "v_seg", ["media_id", "ord"], lambda: keys.segment_key("start", "end", "text"),
+      "sha256(printf('%.3f', \"start\") || chr(10) || printf('%.3f', \"end\") || chr(10) || " + STRIP.format("text") + ")")
+_over("segment_key_exact", "v_seg", ["media_id", "ord"], lambda: keys.segment_key_exact("start", "end", "text"),
+      "sha256(printf('%.3f', \"start\") || chr(10) || printf('%.3f', \"end\") || chr(10) || " + STRIP.format("text") + ")")
+
+
+@register("cache_key", "SELECT count(DISTINCT (l_returnflag, l_linestatus, l_linenumber)) AS keys, count(*) AS n FROM lineitem")
+def _(spark, sf):
+    key = keys.cache_key(F.col("l_returnflag"), F.lit("ru"), F.col("l_linestatus"), F.col("l_linenumber"),
+                         F.concat(F.lit("  same   text "), F.lit(" !")))
+    return v.table(spark, sf, "lineitem").select(key.alias("k")).agg(F.count_distinct("k").alias("keys"), F.count("k").alias("n"))
+
+
+@register("catalog_fingerprint", "SELECT count(DISTINCT (p_brand, p_type, coalesce(p_size, -1))) AS prints, count(*) AS n FROM part")
+def _(spark, sf):
+    return v.table(spark, sf, "part").select(keys.catalog_fingerprint("p_brand", "p_type", "p_size").alias("k")).agg(
+        F.count_distinct("k").alias("prints"), F.count("k").alias("n"))
+
+
+# ---- Python functions
+@register("seq_ratio")
+def _(spark, sf):
+    return v.v_pair(spark, sf).select("pair_id", F.round(udfs.seq_ratio("source", "translated"), 4).alias("ratio"))
+
+
+@register("redact_details", "SELECT event_id, '<скрыто>' AS token, 'https://h/?...' AS url, CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS k FROM events".replace("\\\\", "\\"))
+def _(spark, sf):
+    rows = v.table(spark, sf, "events")
+    raw = F.to_json(F.struct(F.lit("abc").alias("api_key"), F.concat(F.lit("https://h/?t="), F.col("user_id").cast("string")).alias("url"),
+                             F.get_json_object("props", "$.k").cast("int").alias("k")))
+    return rows.select("event_id", udfs.redact_details(raw).alias("d")).select(
+        "event_id", F.get_json_object("d", "$.api_key").alias("token"), F.get_json_object("d", "$.url").alias("url"),
+        F.get_json_object("d", "$.k").cast("int").alias("k"))
+
+
+@register("signature_details", """SELECT event_id, '{"a":"<url> <n>","k":' || CAST(regexp_extract(props, '(\\d+)', 1) AS INT) || '}' AS d FROM events""".replace("\\\\", "\\"))
+def _(spark, sf):
+    raw = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_id").alias("sequence"),
+                             F.concat(F.lit("HTTPS://h/"), F.col("user_id").cast("string"), F.lit(" 42")).alias("a")))
+    return v.table(spark, sf, "events").select("event_id", udfs.signature_details(raw).alias("d"))

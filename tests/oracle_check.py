@@ -52,8 +52,8 @@ def compare(spark, con, sf_dir, query, sql) -> tuple[bool, str]:
     if sorted(df.columns) != sorted(names):
         return False, f"columns {sorted(df.columns)} / {sorted(names)}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        only_got, only_want = sorted(have - need)[:3], sorted(need - have)[:3]
         return False, f"{len(got)} / {len(want)} rows\n   spark {str(only_got)[:900]}\n   sql   {str(only_want)[:900]}"
     return True, f"{len(got)} rows"
 
