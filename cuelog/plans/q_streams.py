@@ -1 +1,112 @@
-"""Queries."""
+"""Queries for the streaming operators: batch twins, and streams run over the tables' files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import events as ev
+from ..streaming import live as lv
+from ..streaming import machines as mc
+from . import views as v
+from .q_events import _upto
+from .registry import register
+from .views import with_views
+
+SECONDS = "cast(timestampdiff(SECOND, timestamp'2024-01-01 00:00:00', ts) AS double)"
+
+
+def _event_stream(spark, sf):
+    """The events table read as a stream of files."""
+    schema = v.table(spark, sf, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
+            .parquet(sf))
+
+
+CIRCUIT = """SELECT *, row_number() OVER w AS p, coalesce(lag(r) OVER w, '') AS prev FROM (
+        SELECT service AS provider, CAST(date_diff('second', TIMESTAMP '2024-01-01', ts) AS DOUBLE) AS t, seq, reason, coalesce(reason, '') AS r
+        FROM v_req WHERE kind <> 'request') WINDOW w AS (PARTITION BY provider ORDER BY t, seq)"""
+
+
+@register("provider_circuit", with_views("""
+    SELECT provider, seq, streak, round(coalesce(until, 0), 3) AS cooldown_until, coalesce(lag(until) OVER (PARTITION BY provider ORDER BY t, seq), 0) <= t AS available
+    FROM (SELECT *, max(u) OVER (PARTITION BY provider, epoch ORDER BY t, seq) AS until FROM (
+        SELECT *, CASE WHEN r = '' THEN NULL ELSE t + CASE WHEN r = 'rate_limit' THEN least(3600e0 * power(2e0, least(streak - 1, 4)), 900e0) ELSE 3600e0 END END AS u
+        FROM (SELECT *, CASE WHEN r = '' THEN 0 ELSE p - max(CASE WHEN r = '' OR r <> prev THEN p END) OVER w + 1 END AS streak,
+                coalesce(max(CASE WHEN r = '' THEN p END) OVER w, 0) AS epoch FROM c WINDOW w AS (PARTITION BY provider ORDER BY t, seq))))""", "v_req", c=CIRCUIT))
+def _(spark, sf):
+    calls = v.v_req(spark, sf).filter("kind <> 'request'").select(
+        F.col("service").alias("provider"), F.expr(SECONDS).alias("ts"), "seq", "reason")
+    return mc.provider_circuit(calls, 3600.0).select("provider", "seq", "streak", F.round("cooldown_until", 3).alias("cooldown_until"), "available")
+
+
+@register("detect_stalls", with_views("""
+    SELECT session_id, sequence, round((epoch_us(nts) - epoch_us(ts)) / 1e6, 3) AS gap_sec FROM (
+        SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY sequence) AS nts FROM v_ev) WHERE epoch_us(nts) - epoch_us(ts) >= 36000000000""", "v_ev"))
+def _(spark, sf):
+    events = v.v_ev(spark, sf)
+    stalls = mc.detect_stalls(events, 36000)
+    return stalls.join(events.select("session_id", F.col("ts").alias("last_seen"), "sequence"), ["session_id", "last_seen"]).select(
+        "session_id", "sequence", F.round("gap_sec", 3).alias("gap_sec"))
+
+
+@register("windowed_failures", with_views("""
+    SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS window_start, service, count(*) AS failures
+    FROM v_req WHERE kind = 'failure' GROUP BY ALL""", "v_req"))
+def _(spark, sf):
+    out = lv.windowed_failures(v.v_req(spark, sf), "6 hours")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "service", "failures")
+
+
+@register("live_summary", with_views("""
+    SELECT session_id, count(*) AS events, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,
+        max_by(event, sequence) AS last_event, max(sequence) AS last_sequence,
+        coalesce(max_by(CASE WHEN event = 'app_session_finished' THEN 'closed' ELSE stage END, sequence) FILTER (event = 'app_session_finished' OR stage IS NOT NULL), 'startup') AS stage,
+        max_by(input_path, sequence) FILTER (input_path IS NOT NULL) AS input_path, count(*) FILTER (event = 'network_storm_started') AS incidents_started,
+        count(*) FILTER (event = 'network_storm_finished') AS incidents_finished, bool_or(event = 'app_session_finished') AS closed FROM v_ev GROUP BY session_id""", "v_ev"))
+def _(spark, sf):
+    return lv.live_summary(v.v_ev(spark, sf))
+
+
+VOICE = """SELECT session_id, sequence, service, 'voice ' || (sequence % 3) AS voice, CASE WHEN sequence % 2 = 0 THEN 1 ELSE 0 END AS fallback_count,
+        CASE event WHEN 'network_storm_started' THEN 'tts_voice_preservation_started' WHEN 'tts_retry' THEN 'tts_edge_probe_started'
+            WHEN 'tts_segment_failed' THEN 'tts_gtts_fallback_enabled' WHEN 'stage_finished' THEN 'tts_summary' ELSE event END AS event FROM v_ev"""
+
+
+@register("voice_status", with_views("""
+    SELECT session_id, coalesce(max_by(st, sequence) FILTER (st IS NOT NULL), 'idle') AS status, coalesce(max_by(fb, sequence) FILTER (fb IS NOT NULL), '') AS fallback_provider,
+        coalesce(max_by(vo, sequence) FILTER (vo IS NOT NULL), '') AS selected_voice, coalesce(max_by(fb, sequence) FILTER (fb IS NOT NULL), '') <> '' AS voice_may_differ
+    FROM (SELECT *, CASE WHEN event = 'tts_voice_preservation_started' THEN 'waiting_for_edge_tts' WHEN event = 'tts_edge_probe_started' THEN 'checking_edge_tts'
+            WHEN event = 'network_storm_finished' AND service = 'edge_tts' THEN 'selected_voice_restored' WHEN event = 'tts_gtts_fallback_enabled' THEN 'gtts_fallback'
+            WHEN event = 'tts_summary' THEN 'finished' END AS st,
+        CASE WHEN event = 'tts_voice_preservation_started' THEN '' WHEN event = 'tts_gtts_fallback_enabled' THEN 'gtts'
+            WHEN event = 'tts_summary' THEN CASE WHEN fallback_count > 0 THEN 'gtts' ELSE '' END END AS fb,
+        CASE WHEN event IN ('tts_voice_preservation_started', 'tts_gtts_fallback_enabled', 'tts_summary') THEN voice END AS vo FROM voice) GROUP BY session_id""", "v_ev", voice=VOICE))
+def _(spark, sf):
+    names = {"network_storm_started": "tts_voice_preservation_started", "tts_retry": "tts_edge_probe_started",
+             "tts_segment_failed": "tts_gtts_fallback_enabled", "stage_finished": "tts_summary"}
+    event = F.col("event")
+    for old, new in names.items():
+        event = F.when(F.col("event") == old, new).otherwise(event)
+    rows = v.v_ev(spark, sf).select(
+        "session_id", "sequence", "service", F.expr("concat('voice ', sequence % 3)").alias("voice"),
+        F.expr("CASE WHEN sequence % 2 = 0 THEN 1 ELSE 0 END").alias("fallback_count"),
+        F.lit(None).cast("string").alias("voice_consistency"), event.alias("event"))
+    return lv.voice_status(rows)
+
+
+@register("detect_storms")
+def _(spark, sf):
+    stream = _event_stream(spark, sf)
+    kind = F.expr("CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'request' END")
+    calls = stream.select((F.col("user_id") % 5).alias("service"), F.expr("unix_micros(cast(ts AS timestamp)) / 1e6").alias("ts"),
+                          F.col("event_id").alias("seq"), kind.alias("kind"))
+    out = lv.drain(mc.detect_storms(calls, window_sec=21600, recovery_min=10))
+    return out.select("service", "seq", "event", "claim", "pause_sec", "duration_sec", "suppressed", "rounds")
+
+
+@register("sample_repeats_stream", _upto("stored", "SELECT CAST(session_id AS VARCHAR) AS session_id, sequence, signature, occurrence, stored FROM stored"))
+def _(spark, sf):
+    # the same view as the batch query, over the table read as a stream
+    stream = _event_stream(spark, sf)
+    events = ev.diagnose(v.ev_from(stream))
+    return lv.drain(mc.sample_repeats_stream(events))

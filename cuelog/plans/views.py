@@ -105,7 +105,12 @@ def v_gloss(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
 # ---------------------------------------------------------------- events
 def v_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a problem log with its hot details as columns."""
-    ev = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return ev_from(table(spark, sf_dir, "events"))
+
+
+def ev_from(events: DataFrame) -> DataFrame:
+    """The log view of an events table or stream."""
+    ev = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     return ev.select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("ts"),
         F.expr("CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END").alias("level"),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered as o
-from ..functions.numbers import srt_timestamp
-from ..functions.text import collapse
-from ..operators.segments import HOUR, KEY, ORDER
+from ..functions.keys import segment_key
+from ..functions.numbers import fmt_time, srt_timestamp
+from ..functions.text import collapse, markdown_cell, strip
+from ..operators.segments import HOUR, KEY, ORDER, assemble_text
 from ..operators.timeline import shift_by_pauses
 
 
@@ -46,3 +47,95 @@ def to_srt(segments: DataFrame, pauses: DataFrame, text_col: str = "text", part_
     """Subtitle documents per media: media_id, part, cues, document."""
     parts = in_parts(srt_cues(segments, pauses, text_col), "cue", "\n\n", part_cues, "cues")
     return parts.withColumn("document", F.concat("document", F.lit("\n")))
+
+
+def write_srt(segments: DataFrame, pauses: DataFrame, path: str, text_col: str = "text") -> None:
+    """Subtitle files, one folder per media; parts of a very long media are numbered."""
+    (to_srt(segments, pauses, text_col).repartition("media_id", "part").sortWithinPartitions("media_id", "part")
+     .select("media_id", "part", F.col("document").alias("value")).write.partitionBy("media_id", "part").text(path))
+
+
+def to_segment_report(pairs: DataFrame, source_lang: str, target_lang: str, part_rows: int = 5000) -> DataFrame:
+    """Readable list of segments per media: media_id, part, segments, document.
+
+    Input: media_id, seg_index, start, end, source, translated.
+    """
+    index = F.when(F.col("seg_index") < 1000, F.lpad(F.col("seg_index").cast("string"), 3, "0")).otherwise(
+        F.col("seg_index").cast("string"))
+    line = F.concat_ws("\n", F.concat(F.lit("["), index, F.lit("] "), fmt_time("start"), F.lit(" → "), fmt_time("end")),
+                       F.concat(F.lit(f"SRC ({source_lang}): "), strip("source")),
+                       F.concat(F.lit(f"{target_lang.upper()}: "), strip("translated")), F.lit(""))
+    return in_parts(pairs.select("media_id", F.col("seg_index").alias("seq"), line.alias("line")), "line", "\n", part_rows, "segments")
+
+
+def to_pause_report(pauses: DataFrame, part_rows: int = 5000) -> DataFrame:
+    """Readable list of inserted pauses per media.  Input: media_id, at, duration, segments."""
+    numbered = o.ordered_scan(pauses, KEY, ["at"], o.every("at", HOUR), seq=o.row_number())
+    line = F.concat(F.lpad(F.col("seq").cast("string"), 3, "0"), F.lit(". "), fmt_time("at"), F.lit(" +"),
+                    F.format_string("%.2f", "duration"), F.lit("s for segments: "),
+                    F.array_join(F.transform("segments", lambda s: s.cast("string")), ", "))
+    return in_parts(numbered.select("media_id", "seq", line.alias("line")), "line", "\n", part_rows, "pauses")
+
+
+def to_transcript(segments: DataFrame, text_col: str = "translated", part_rows: int = 10000) -> DataFrame:
+    """Full text per media, one segment a line: media_id, part, segments, text."""
+    return assemble_text(segments, text_col, "\n", part_rows)
+
+
+def write_checkpoints(pairs: DataFrame, path: str) -> None:
+    """Checkpoint rows (key, start, end, source, translated) by target and media.
+
+    Input: media_id, target, start, end, source, translated.
+    """
+    (pairs.select("target", "media_id", segment_key("start", "end", "source").alias("key"), "start", "end",
+                  strip("source").alias("source"), strip("translated").alias("translated"))
+     .write.mode("append").partitionBy("target").json(path))
+
+
+def split_streams(events: DataFrame) -> DataFrame:
+    """Add ``stream``: problems for warnings and errors, timeline for the rest."""
+    return events.withColumn("stream", F.when(F.col("level").isin("warning", "error"), "problems").otherwise("timeline"))
+
+
+def write_event_log(events: DataFrame, path: str) -> None:
+    """Event lines, the two streams in separate folders."""
+    split_streams(events).write.mode("append").partitionBy("stream").json(path)
+
+
+def session_manifest(sessions: DataFrame, artifact_type: str = "problem_session", schema_version: int = 1) -> DataFrame:
+    """Manifest row per session.  Input: session_id, status, updated_at."""
+    return sessions.select(F.lit(schema_version).alias("schema_version"), F.lit(artifact_type).alias("artifact_type"),
+                           "session_id", "status", "updated_at")
+
+
+def latest_session(sessions: DataFrame) -> DataFrame:
+    """Pointer row to the session updated last."""
+    return sessions.agg(F.max_by(F.struct("session_id", "status", "updated_at"), F.struct("updated_at", "session_id")).alias("s")).select("s.*")
+
+
+def to_session_report(verdict: DataFrame, cards: DataFrame, events: DataFrame) -> DataFrame:
+    """Markdown report per session: verdict, leading issue cards and most frequent events.
+
+    ``verdict``, ``cards`` (ranked, with playbook) and ``events`` (top events) come
+    from the operators of the same names; a session has at most ten cards and twelve events.
+    """
+    card = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("rank").cast("string"), "priority", markdown_cell("event"),
+                                             F.col("occurrences_total").cast("string"), markdown_cell("message"), "playbook"), F.lit(" |"))
+    card_lines = cards.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", card.alias("line")))).alias("_c"))
+    event = F.concat(F.lit("- `"), F.col("event"), F.lit("` — "), F.col("n").cast("string"))
+    event_lines = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", event.alias("line")))).alias("_e"))
+    rows = verdict.join(card_lines, "session_id", "left").join(event_lines, "session_id", "left")
+
+    def lines(c):
+        return F.array_join(F.transform(F.coalesce(c, F.array().cast("array<struct<rank:int,line:string>>")), lambda x: x["line"]), "\n")
+
+    def bullets(c):
+        return F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+    document = F.concat_ws(
+        "\n", F.concat(F.lit("# Session "), F.col("session_id").cast("string")), F.concat(F.lit("Result: "), F.col("result")), F.lit(""),
+        F.lit("## Observations"), bullets(F.col("observations")), F.lit(""), F.lit("## Issues"),
+        F.lit("| # | Priority | Event | Times | Message | Playbook |"), F.lit("|---|---|---|---|---|---|"), lines(F.col("_c")), F.lit(""),
+        F.lit("## What could be improved"), bullets(F.col("candidates")), F.lit(""), F.lit("## Gaps in the log"),
+        bullets(F.col("logging_gaps")), F.lit(""), F.lit("## Most frequent events"), lines(F.col("_e")), F.lit(""))
+    return rows.select("session_id", document.alias("document"))
