@@ -95,10 +95,14 @@ def with_details(events: DataFrame) -> DataFrame:
 
 
 def diagnose(events: DataFrame) -> DataFrame:
-    """Redact messages and add category, family, signature and actionability."""
-    rows = with_details(events)
-    rows = rows.withColumn("message", redact("message", 6000)).withColumn("exc_category", F.coalesce(
-        "exc_category", F.when(F.col("exc_type").isNotNull(), error_category("exc_type", "exc_message"))))
+    """Redact messages and add category, family, signature and actionability.
+
+    A log without the column ``exc_category`` gets it from the exception itself.
+    """
+    rows = with_details(events).withColumn("message", redact("message", 6000))
+    if "exc_category" not in events.columns:
+        rows = rows.withColumn("exc_category", F.when(
+            F.col("exc_type").isNotNull(), error_category("exc_type", "exc_message")))
     rows = rows.withColumn("family", problem_family("event", "exc_category", "command"))
     signature = short_hash(
         F.col("event"), F.col("level"), F.col("family"), signature_text("message"), F.col("stage"),

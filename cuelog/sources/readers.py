@@ -175,16 +175,25 @@ def read_media_probe(spark: SparkSession, path: str) -> DataFrame:
         (F.coalesce("s.disposition.attached_pic", F.lit(0)) != 0).alias("attached_pic"))
 
 
-def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Cache files by name, size and time; contents are not read.
+def classify_inventory(listing: DataFrame, root: str) -> DataFrame:
+    """A listing (path, size, mtime) as cache files.
 
     ``kind`` is entry (64-hex name with a known suffix), temporary or other.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-        "path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     kind = (F.when(name.rlike(r"^\.[0-9a-f]{64}\..*\.tmp$"), "temporary")
             .when(name.rlike(r"^[0-9a-f]{64}\.[^.]+$") & suffix.isin(".mp3", ".wav", ".json"), "entry").otherwise("other"))
-    return files.select(F.lit(root).alias("root"), "path", F.regexp_extract(name, r"^\.?([0-9a-f]{64})", 1).alias("key"),
-                        suffix.alias("suffix"), "size", "mtime", kind.alias("kind"))
+    return listing.select(F.lit(root).alias("root"), "path", F.regexp_extract(name, r"^\.?([0-9a-f]{64})", 1).alias("key"),
+                          suffix.alias("suffix"), "size", "mtime", kind.alias("kind"))
+
+
+def read_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Cache files under ``root`` by name, size and time; contents are not read.
+
+    Spark's file source leaves out names with a leading dot; to see temporary
+    files pass the storage's own listing to :func:`classify_inventory`.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
+        "path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
+    return classify_inventory(files, root)
