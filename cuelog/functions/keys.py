@@ -28,9 +28,13 @@ def segment_key_exact(start: pd.Series, end: pd.Series, text: pd.Series) -> pd.S
 
 
 def short_hash(*columns: Column, length: int = 20) -> Column:
-    """Digest of a row of values; NULL and '' are the same value."""
+    """Digest of a row of values; NULL and '' are the same value.
+
+    Declared never NULL: a join on it then needs no NULL filter, which would
+    compute the digest once more.
+    """
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
-    return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, length)
+    return F.coalesce(F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, length), F.lit(""))
 
 
 def cache_key(provider, language, voice, rate_pct, text, extra=None, schema: int = 1) -> Column:

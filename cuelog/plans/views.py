@@ -13,10 +13,19 @@ _tables: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is read from the footers once per session."""
+    """A given table; its schema is read from the footers once per session.
+
+    The tables with long per-row text work are spread over the cores where they
+    come in fewer splits than there are cores; a table of many files is left as
+    it is.
+    """
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
     if key not in _tables:
-        _tables[key] = spark.read.parquet(key[1])
+        rows = spark.read.parquet(key[1])
+        cores = spark.sparkContext.defaultParallelism
+        if name in ("documents", "events") and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        _tables[key] = rows
     return _tables[key]
 
 

@@ -208,11 +208,14 @@ def detect_stalls_stream(events: DataFrame, stale_sec: int = 900, watermark: str
 
 
 # ---------------------------------------------------------------- sampling
-def sample_repeats_stream(events: DataFrame, ttl_ms: int | None = None, sampled: list[str] | None = None) -> DataFrame:
+def sample_repeats_stream(events: DataFrame, ttl_ms: int | None = None, sampled: list[str] | None = None,
+                          buckets: int = 4) -> DataFrame:
     """Occurrence number and storage decision per event as it arrives.
 
-    Input: session_id, signature, sequence, event.  With ``ttl_ms`` a signature
-    unseen for so long is forgotten.
+    Input: session_id, signature, sequence, event.  A session's signatures are
+    dealt over ``buckets`` keys, so that a busy session is not the work of one
+    task and a quiet one is not many keys.  With ``ttl_ms`` a bucket unseen for
+    so long is forgotten.
     """
     chatty = set(sampled or SAMPLED_EVENTS)
     out = "session_id string, signature string, sequence bigint, occurrence bigint, stored boolean"
@@ -221,16 +224,19 @@ def sample_repeats_stream(events: DataFrame, ttl_ms: int | None = None, sampled:
         if group.hasTimedOut:
             group.remove()
             return
-        seen = group.get[0] if group.exists else 0
-        rows = pd.concat(list(frames)).sort_values("sequence").reset_index(drop=True)
-        number = seen + 1 + rows.index.to_series()
+        seen = dict(zip(*group.get)) if group.exists else {}
+        rows = pd.concat(list(frames)).sort_values("sequence")
+        number = rows.groupby("signature").cumcount() + 1 + rows["signature"].map(seen).fillna(0).astype("int64")
         keep = ~rows["event"].isin(chatty) | (number <= 3) | number.isin(SAMPLE_POINTS) | (number % 250 == 0)
-        group.update((int(seen + len(rows)),))
+        seen.update(number.groupby(rows["signature"]).max().to_dict())
+        group.update((list(seen), [int(n) for n in seen.values()]))
         if ttl_ms:
             group.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"session_id": key[0], "signature": key[1], "sequence": rows["sequence"],
+        yield pd.DataFrame({"session_id": key[0], "signature": rows["signature"], "sequence": rows["sequence"],
                             "occurrence": number, "stored": keep})
 
-    narrow = events.select(F.col("session_id").cast("string").alias("session_id"), "signature", "sequence", "event")
-    return narrow.groupBy("session_id", "signature").applyInPandasWithState(
-        run, out, "seen bigint", "append", "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
+    narrow = events.select(F.col("session_id").cast("string").alias("session_id"), "signature", "sequence", "event",
+                           F.pmod(F.hash("signature"), F.lit(buckets)).alias("bucket"))
+    return narrow.groupBy("session_id", "bucket").applyInPandasWithState(
+        run, out, "signatures array<string>, counts array<bigint>", "append",
+        "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")

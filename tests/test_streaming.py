@@ -1,6 +1,7 @@
 """Streams against loops and against their batch twins."""
 
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ def _stream(spark, tmp_path, df, files=3, order="seq"):
     size = -(-len(rows) // files)
     for i in range(0, len(rows), size):
         text = "\n".join(json.dumps(r.asDict(), default=str) for r in rows[i:i + size])
-        (folder / f"{i:06d}.json").write_text(text)
+        file = folder / f"{i:06d}.json"
+        file.write_text(text)
+        os.utime(file, (1700000000 + i, 1700000000 + i))  # the source takes older files first
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
@@ -76,7 +79,9 @@ def test_live_summary_stream_and_intake(spark, tmp_path):
     (root / "s1").mkdir(parents=True)
     lines = [{"sequence": i, "level": "error" if i % 4 == 0 else "info", "event": "stage_started", "details": {"stage": f"st{i}"}} for i in range(1, 13)]
     for part in range(3):
-        (root / "s1" / f"events.jsonl.{part}").write_text("\n".join(json.dumps(x) for x in lines[part * 4:part * 4 + 4]))
+        file = root / "s1" / f"events.jsonl.{part}"
+        file.write_text("\n".join(json.dumps(x) for x in lines[part * 4:part * 4 + 4]))
+        os.utime(file, (1700000000 + part, 1700000000 + part))
     stream = lv.stream_event_log(spark, str(root), max_files=1)
     query = (lv.live_summary(stream).writeStream.format("memory").queryName("live").outputMode("complete")
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
