@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -156,3 +157,8 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
                 names=[*batch.schema.names, *arrow.names])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, as lambdas would compute it for every element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

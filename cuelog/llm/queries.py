@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import quality as _quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +32,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     """Words of documents inside ten-word windows of test items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return _decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text", "hit_spans")
+
+
+@_query(r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 9),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + 7], ' ')) AS c FROM p),
+s AS (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS step FROM g WHERE c >= 2),
+r AS (SELECT rid, sum(step)::BIGINT AS n_repeat_words FROM s GROUP BY rid),
+m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines
+             OR word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT)::DOUBLE AS k FROM b WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT sum(k) / sum(n) AS mean, sum(n) AS n, count(*) AS h, sum(k * k / n) AS squares FROM h),
+v AS (SELECT mean, greatest(0, squares / n - mean * mean - mean * (1 - mean) * (h - 1) / n) AS spread FROM t),
+a AS (SELECT mean, CASE WHEN mean * (1 - mean) >= 1001 * spread THEN 1000 ELSE greatest(1, mean * (1 - mean) / spread - 1) END AS strength FROM v),
+x AS (SELECT source FROM h, a WHERE (k + mean * strength) / (n + strength) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(source NOT IN (SELECT source FROM x), true) AS kept FROM b""")
+def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rules, and hosts judged by shrunken failure rates."""
+    judged = _quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.drop("source", "n_lines")
