@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import quality as _quality
+from . import secrets as _secrets
+from . import url_rules as _url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,10 +38,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 @_query(r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-p AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 9),
-g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + 7], ' ')) AS c FROM p),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT rid, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: md5_number(array_to_string(ws[i:i + 7], ' ')))) AS g FROM w WHERE len(ws) >= 9),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM p),
 s AS (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS step FROM g WHERE c >= 2),
 r AS (SELECT rid, sum(step)::BIGINT AS n_repeat_words FROM s GROUP BY rid),
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -58,3 +60,26 @@ def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rules, and hosts judged by shrunken failure rates."""
     judged = _quality.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.drop("source", "n_lines")
+
+
+@_query()
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL.
+
+    Labels are those of the document that a page shows, whose number is the last number in
+    the URL's path; toxic or low-quality documents make a page bad.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    shown = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*/?([?#].*)?$', 1) AS bigint)").alias("doc_id"))
+    return _url_rules.url_filter(pages, shown.join(labels, "doc_id").select("url", "bad"))
+
+
+@_query()
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, as counts, digest and spans."""
+    found = _secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = [r.kind for r in _secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(_secrets.spelled_out(F.filter("secrets", lambda s: s["kind"].isin(base))), 256)
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), _secrets.spelled_out(F.col("secrets")).alias("spans"))
