@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import language as _language
 from . import quality as _quality
 from . import secrets as _secrets
 from . import url_rules as _url_rules
@@ -83,3 +84,12 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     digest = F.sha2(_secrets.spelled_out(F.filter("secrets", lambda s: s["kind"].isin(base))), 256)
     return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), _secrets.spelled_out(F.col("secrets")).alias("spans"))
+
+
+@_query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    dictionaries = _language.train(docs.filter(~F.col("held_out")))
+    return _language.identify(docs.select("doc_id", "text", "held_out"), dictionaries).drop("text")
