@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import language as _language
+from . import packing as _packing
 from . import quality as _quality
 from . import secrets as _secrets
 from . import url_rules as _url_rules
@@ -93,3 +94,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     dictionaries = _language.train(docs.filter(~F.col("held_out")))
     return _language.identify(docs.select("doc_id", "text", "held_out"), dictionaries).drop("text")
+
+
+@_query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 4096."""
+    import public_tokenizers
+    return _packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
