@@ -12,6 +12,8 @@ from . import language as _language
 from . import packing as _packing
 from . import quality as _quality
 from . import secrets as _secrets
+from . import suffix_array as _suffix_array
+from . import suffix_trees as _suffix_trees
 from . import url_rules as _url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +103,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 4096."""
     import public_tokenizers
     return _packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated 200-byte strings."""
+    left = _suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query()
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without 13-word passages of earlier ones."""
+    left = _suffix_trees.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
