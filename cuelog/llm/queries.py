@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import jaccard as _jaccard
 from . import language as _language
 from . import packing as _packing
 from . import quality as _quality
@@ -117,3 +118,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 13-word passages of earlier ones."""
     left = _suffix_trees.remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query()
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles are 85 in 100 the same."""
+    return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
