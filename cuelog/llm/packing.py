@@ -59,7 +59,7 @@ class WordEncoder:
         if len(self.known) + len(words) > self._MOST:
             self.known.clear()
         split = {w: [w] if w.isalpha() else self.pieces(w) for w in words}
-        fresh = list({p for parts in split.values() for p in parts} - self.known.keys())
+        fresh = list(dict.fromkeys(p for parts in split.values() for p in parts if p not in self.known))
         if fresh:
             coded = self.words.encode(" ".join(fresh), add_special_tokens=False)
             ids, cuts = np.array(coded.ids, "<u4"), np.searchsorted(coded.word_ids, np.arange(len(fresh) + 1))
