@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import html_template as _html_template
 from . import jaccard as _jaccard
 from . import language as _language
 from . import packing as _packing
@@ -124,3 +125,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingles are 85 in 100 the same."""
     return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return _html_template.extract_text(_table(spark, sf_dir, "pages"))
