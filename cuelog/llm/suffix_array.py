@@ -147,7 +147,7 @@ def _repeated_windows(table: pa.Table, length: int) -> Iterator[tuple[int, np.nd
         yield row, classes[b:b + w], counts[b:b + w]
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, group: int = 512) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, group: int = 4096) -> DataFrame:
     """What stays of every text when bytes in repeated ``length``-byte strings go.
 
     ``docs`` needs ``doc_id`` and ``text``.  Result, one row a row of ``docs``: ``doc_id``, ``n_bytes``,
