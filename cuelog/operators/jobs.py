@@ -208,12 +208,17 @@ def resume_plan(files: DataFrame, inventory: DataFrame, validated: DataFrame) ->
 
     ``inventory``: input_path, size, modified of existing inputs.
     ``validated``: output_path of outputs that passed validation.
+    ``files`` may have ``readable``: False where the stored size or time is no number,
+    which counts as changed.
     """
+    readable = F.coalesce("readable", F.lit(True)) if "readable" in files.columns else F.lit(True)
     now = inventory.select("input_path", F.col("size").alias("_size"), F.col("modified").alias("_mod"), F.lit(True).alias("_in"))
     good = validated.select("output_path").distinct().withColumn("_good", F.lit(True))
-    rows = files.join(now, "input_path", "left").join(good, "output_path", "left")
+    # files without an output do not meet at one empty key
+    key = F.when(F.coalesce("output_path", F.lit("")) == "", F.concat(F.lit("\0"), F.xxhash64("input_path").cast("string"))).otherwise(F.col("output_path"))
+    rows = files.withColumn("_key", key).join(now, "input_path", "left").join(good.withColumnRenamed("output_path", "_key"), "_key", "left").drop("_key")
     exists, ok = F.coalesce("_in", F.lit(False)), F.coalesce("_good", F.lit(False)) & (F.col("output_path") != "")
-    changed = exists & _changed(F.col("size"), F.col("modified"), F.col("_size"), F.col("_mod"), F.lit(True))
+    changed = exists & _changed(F.col("size"), F.col("modified"), F.col("_size"), F.col("_mod"), readable)
     succeeded = F.col("status") == "succeeded"
     action = (F.when(succeeded & ok & ~changed, "keep").when(~exists, "missing")
               .when(succeeded & changed, "redo").when(succeeded, "redo")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.keys import catalog_fingerprint
 from ..functions.text import cap_list
 from ..operators import inventory as iv
+from ..session import shared_folder
+from ..sources import readers as rd
+from ..sources import writers as wr
 from . import views as v
 from .registry import register
 from .views import AS_OF, with_views
@@ -122,3 +127,45 @@ def _(spark, sf):
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
     return v.table(spark, sf, "documents").select("doc_id", cap_list(words, 200).alias("c")).select(
         "doc_id", "c.total_count", "c.shown_count", "c.truncated")
+
+
+# ---------------------------------------------------------------- written and read back
+def _fresh(spark, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("checkpoint_round_trip", with_views(r"""
+    SELECT CAST(media_id AS VARCHAR) AS media_id, 'ru' AS target, start, "end", regexp_replace(text, '^\s+|\s+$', '', 'g') AS source,
+        regexp_replace('to ' || text, '^\s+|\s+$', '', 'g') AS translated FROM v_seg WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""", "v_seg"))
+def _(spark, sf):
+    pairs = v.v_seg(spark, sf).select(F.col("media_id").cast("string").alias("media_id"), F.lit("ru").alias("target"), "start", "end",
+                                      F.col("text").alias("source"), F.concat(F.lit("to "), "text").alias("translated"))
+    path = _fresh(spark, "checkpoints")
+    wr.write_checkpoints(pairs, path)
+    return rd.read_checkpoints(spark, path).select("media_id", "target", "start", "end", "source", "translated")
+
+
+@register("event_log_round_trip", with_views("""
+    SELECT CAST(session_id AS VARCHAR) AS session_id, sequence, level, event, stage, service FROM v_ev""", "v_ev"))
+def _(spark, sf):
+    path = _fresh(spark, "logs")
+    wr.write_event_log(v.v_ev(spark, sf), path)
+    return rd.read_event_log(spark, path).select("session_id", "sequence", "level", "event", "stage", "service")
+
+
+@register("write_transcripts", with_views(r"""
+    SELECT media_id, part, count(*) AS segments, string_agg(t, chr(10) ORDER BY n) AS text FROM (
+        SELECT media_id, t, n, (n - 1) // 1000 AS part FROM (
+            SELECT media_id, trim(text) AS t, row_number() OVER (PARTITION BY media_id ORDER BY start, ord) AS n FROM v_seg WHERE trim(text) <> '')) GROUP BY ALL""", "v_seg"))
+def _(spark, sf):
+    return wr.to_transcript(v.v_seg(spark, sf), "text", 1000)
+
+
+@register("latest_session", with_views("""
+    SELECT session_id, status, updated_at FROM (SELECT session_id, CASE WHEN bool_or(event = 'app_session_finished') THEN 'closed' ELSE 'open' END AS status,
+        CAST(epoch_us(max(ts)) AS BIGINT) AS updated_at FROM v_ev GROUP BY session_id) ORDER BY updated_at DESC, session_id DESC LIMIT 1""", "v_ev"))
+def _(spark, sf):
+    sessions = v.v_ev(spark, sf).groupBy("session_id").agg(
+        F.when(F.bool_or(F.col("event") == "app_session_finished"), "closed").otherwise("open").alias("status"), F.unix_micros(F.max("ts")).alias("updated_at"))
+    return wr.latest_session(wr.session_manifest(sessions))

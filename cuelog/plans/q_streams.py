@@ -16,10 +16,9 @@ SECONDS = "cast(timestampdiff(SECOND, timestamp'2024-01-01 00:00:00', ts) AS dou
 
 
 def _event_stream(spark, sf):
-    """The events table read as a stream of files."""
+    """The events table read as a stream of files; the table is one file or a folder of them."""
     schema = v.table(spark, sf, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
-            .parquet(sf))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parquet*")
 
 
 CIRCUIT = """SELECT *, row_number() OVER w AS p, coalesce(lag(r) OVER w, '') AS prev FROM (

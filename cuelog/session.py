@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,24 +32,51 @@ def build_session(master: str | None = None, app: str = "cuelog", **conf: str) -
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 _own_folders: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, so they need not find it on their own path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="cuelog-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "cuelog.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for top, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    The session names it in ``spark.checkpoint.dir``.  Only where nothing is set
-    (local tests) one temporary folder per application is made.
+    The session names it in ``spark.checkpoint.dir``.  Without that setting a cluster is
+    refused, as no folder is known that all its machines see; a local session, whose
+    only machine this is, gets a temporary folder that goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="cuelog-")
+        atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
     return _own_folders[app]
 
 

@@ -37,6 +37,11 @@ SESSION_FOLDER = r"session_[0-9]{8}_[0-9]{6}_[0-9]{6}_[0-9]+"
 # ---- end of fixed values ----
 
 
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file; a byte order mark is not part of its text."""
+    return spark.read.text(path, wholetext=True).withColumn("value", F.ltrim("value", F.lit("\ufeff")))
+
+
 def _file_name() -> Column:
     return F.col("_metadata.file_path")
 
@@ -77,21 +82,17 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
         field("details", "variant").alias("details"))
 
 
-def read_event_log(spark: SparkSession, root: str) -> DataFrame:
-    """Both halves of all session logs under ``root``; the folder name is the session."""
-    lines = spark.read.text([f"{root}/*/events.jsonl*", f"{root}/*/problems.jsonl*"]) if _has(spark, root) else \
-        spark.read.text(f"{root}/*/*.jsonl")
-    return parse_event_lines(lines.select("value", F.regexp_extract(_file_name(), r"([^/]+)/[^/]+$", 1).alias("session_id")))
+#: A log file or folder of part files, in the folder of its session.
+LOG_FILE = r"/(?:session_id=)?([^/]+)/(?:log=)?(?:events|problems)\.jsonl[^/]*(?:/[^/]+)?$"
+
 
+def read_event_log(spark: SparkSession, root: str) -> DataFrame:
+    """Both halves of all session logs under ``root``, rotated parts included; the folder name is the session.
 
-def _has(spark: SparkSession, root: str) -> bool:
-    """True if both kinds of log exist under ``root`` (a pattern without a match is an error)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    def some(pattern: str) -> bool:
-        path = hadoop(f"{root}/*/{pattern}")
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-        return found is not None and len(found) > 0
-    return some("events.jsonl*") and some("problems.jsonl*")
+    Other files below ``root`` are listed but not read.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).filter(_file_name().rlike(LOG_FILE))
+    return parse_event_lines(lines.select("value", F.regexp_extract(_file_name(), LOG_FILE, 1).alias("session_id")))
 
 
 def read_sessions(spark: SparkSession, root: str, artifact_type: str, schema_version: int = 1) -> DataFrame:
@@ -104,7 +105,7 @@ def read_sessions(spark: SparkSession, root: str, artifact_type: str, schema_ver
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """Glossary terms: source_term, target_term, ord; blanks collapsed, empty terms dropped."""
-    whole = spark.read.text(path, wholetext=True)
+    whole = _whole_files(spark, path)
     pairs = whole.select(F.posexplode(F.map_entries(F.from_json("value", T.MapType(T.StringType(), T.StringType())))).alias("ord", "e"))
     return pairs.select(collapse("e.key").alias("source_term"), collapse("e.value").alias("target_term"),
                         F.col("ord").cast("bigint").alias("ord")).filter("source_term <> '' AND target_term <> ''")
@@ -123,12 +124,17 @@ def split_corrupt(raw: DataFrame, good: Column, version: Column, expected_versio
     return rows.filter("label IS NULL").drop("label"), rows.filter("label IS NOT NULL")
 
 
+def _unreadable(column: str) -> Column:
+    """A stored number that is there but is none."""
+    return F.col(column).isNotNull() & F.col(column).try_cast("bigint").isNull()
+
+
 def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Task queue files as (tasks, files, known ids), unnormalised; ``ord`` keeps queue order.
 
     Broken entries are left out; find them with :func:`quarantined_tasks`.
     """
-    whole = spark.read.text(path, wholetext=True)
+    whole = _whole_files(spark, path)
     queue = whole.select(F.from_json("value", QUEUE).alias("q")).filter(F.col("q.schema_version").try_cast("int") == 1)
     entries = queue.select(F.posexplode("q.tasks").alias("ord", "v")).select(
         F.col("ord").cast("bigint").alias("ord"), F.from_json(F.to_json("v"), TASK).alias("t"))
@@ -143,6 +149,7 @@ def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
         "task_id", (F.col("p") + 1).cast("bigint").alias("position"), F.from_json(F.to_json("v"), TASK_FILE).alias("f")).select(
         "task_id", "position", "f.file_index", "f.status", F.col("f.input.path").alias("input_path"), "f.output_path",
         F.col("f.input.size").try_cast("bigint").alias("size"), F.col("f.input.modified_ns").try_cast("bigint").alias("modified"),
+        (~(_unreadable("f.input.size") | _unreadable("f.input.modified_ns"))).alias("readable"),
         "f.elapsed_sec", "f.last_error")
     ids = F.coalesce(F.try_variant_get("q.known_task_batch_ids", "$", "array<string>"),
                      F.array(F.try_variant_get("q.known_task_batch_ids", "$", "string")))
@@ -152,7 +159,7 @@ def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
 
 def quarantined_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Queue files that cannot be used whole: label (corrupt, unsupported, partial) and raw text."""
-    whole = spark.read.text(path, wholetext=True).select(_file_name().alias("file"), "value")
+    whole = _whole_files(spark, path).select(_file_name().alias("file"), "value")
     queue = F.from_json("value", QUEUE)
     sound = F.forall(F.transform(queue["tasks"], lambda v: F.from_json(F.to_json(v), TASK)), lambda t: (
         t["batch_state"]["files"].isNotNull()

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered as o
-from ..functions.keys import segment_key
+from ..functions.keys import segment_key_exact
 from ..functions.numbers import fmt_time, srt_timestamp
 from ..functions.text import collapse, markdown_cell, strip
 from ..operators.segments import HOUR, KEY, ORDER, assemble_text
 from ..operators.timeline import shift_by_pauses
+from .readers import HOT_DETAILS
 
 
 def srt_cues(segments: DataFrame, pauses: DataFrame, text_col: str = "text") -> DataFrame:
@@ -82,14 +83,22 @@ def to_transcript(segments: DataFrame, text_col: str = "translated", part_rows:
     return assemble_text(segments, text_col, "\n", part_rows)
 
 
-def write_checkpoints(pairs: DataFrame, path: str) -> None:
-    """Checkpoint rows (key, start, end, source, translated) by target and media.
+def write_checkpoints(pairs: DataFrame, path: str, part_rows: int = 10000) -> None:
+    """Checkpoint documents that :func:`readers.read_checkpoints` reads: a file for each (media, target, part of its rows).
 
-    Input: media_id, target, start, end, source, translated.
+    Input: media_id, target, start, end, source, translated; source_language if known.
+    Keys have the stored format exactly, so other programs find them.
     """
-    (pairs.select("target", "media_id", segment_key("start", "end", "source").alias("key"), "start", "end",
-                  strip("source").alias("source"), strip("translated").alias("translated"))
-     .write.mode("append").partitionBy("target").json(path))
+    language = F.col("source_language") if "source_language" in pairs.columns else F.lit(None)
+    rows = pairs.select("media_id", "target", language.cast("string").alias("source_language"), segment_key_exact("start", "end", "source").alias("key"),
+                        F.col("start").cast("double"), F.col("end").cast("double"), strip("source").alias("source"), strip("translated").alias("translated"))
+    numbered = o.ordered_scan(rows, ["media_id", "target"], ["start", "end", "key"], o.every("start", 3600), _n=o.row_number())
+    part = F.floor((F.col("_n") - 1) / part_rows)
+    entry = F.struct("_n", F.struct("key", "start", "end", "source", "translated").alias("s"))
+    documents = numbered.groupBy("media_id", "target", part.alias("_part")).agg(F.first("source_language").alias("source_language"), F.array_sort(F.collect_list(entry)).alias("_rows"))
+    documents.select(F.to_json(F.struct(
+        F.lit(1).alias("schema_version"), F.struct(F.col("media_id").cast("string").alias("path")).alias("input"), "source_language",
+        F.col("target").alias("target_language"), F.transform("_rows", lambda r: r["s"]).alias("segments"))).alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
 def split_streams(events: DataFrame) -> DataFrame:
@@ -97,9 +106,31 @@ def split_streams(events: DataFrame) -> DataFrame:
     return events.withColumn("stream", F.when(F.col("level").isin("warning", "error"), "problems").otherwise("timeline"))
 
 
+def event_lines(events: DataFrame) -> DataFrame:
+    """Log lines (session_id, stream, value) of events with the columns that the log reader knows.
+
+    ``details`` (JSON text or variant) is taken where given, else built from the hot columns.
+    """
+    names = set(events.columns)
+    if "details" in names:
+        details = F.to_json("details") if dict(events.dtypes)["details"] == "variant" else F.col("details")
+        details = F.parse_json(details)
+    else:
+        hot = [F.col(c) for c in HOT_DETAILS if c in names]
+        details = F.parse_json(F.to_json(F.struct(*hot))) if hot else F.parse_json(F.lit("{}"))
+    timestamp = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp")] if "ts" in names else []
+    plain = [F.col(c) for c in ("sequence", "level", "event", "message", "thread") if c in names]
+    value = F.to_json(F.struct(F.lit(1).alias("schema_version"), *timestamp, *plain, details.alias("details")))
+    return split_streams(events).select(F.col("session_id").cast("string").alias("session_id"), "stream", value.alias("value"))
+
+
 def write_event_log(events: DataFrame, path: str) -> None:
-    """Event lines, the two streams in separate folders."""
-    split_streams(events).write.mode("append").partitionBy("stream").json(path)
+    """Session logs that :func:`readers.read_event_log` reads: part files below ``session_id=<id>/log=events.jsonl`` and ``problems.jsonl``.
+
+    Ids are made of letters, digits, dots, dashes and underscores, as folder names keep them.
+    """
+    log = F.when(F.col("stream") == "problems", "problems.jsonl").otherwise("events.jsonl").alias("log")
+    event_lines(events).select("session_id", log, "value").write.mode("append").partitionBy("session_id", "log").text(path)
 
 
 def session_manifest(sessions: DataFrame, artifact_type: str = "problem_session", schema_version: int = 1) -> DataFrame:

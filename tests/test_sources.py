@@ -1,6 +1,8 @@
 """Files written and read back; damaged state kept aside."""
 
+import hashlib
 import json
+import shutil
 
 from cuelog.operators import events as ev
 from cuelog.operators import jobs as jb
@@ -23,8 +25,14 @@ def test_checkpoints(spark, tmp_path):
     assert [(r.media_id, r.key, r.translated) for r in got] == [("/m/a.mp4", "k1", "b")]
     pairs = spark.createDataFrame([("/m/a.mp4", "ru", 0.0, 1.0, " a ", "b")], "media_id string, target string, start double, end double, source string, translated string")
     wr.write_checkpoints(pairs, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).first()
-    assert (back.source, back.translated, back.target, len(back.key)) == ("a", "b", "ru", 64)
+    back = rd.read_checkpoints(spark, str(tmp_path / "out")).first()
+    assert (back.media_id, back.target, back.source, back.translated, back.start, back.end) == ("/m/a.mp4", "ru", "a", "b", 0.0, 1.0)
+    assert back.key == hashlib.sha256(b"0.000\n1.000\na").hexdigest()
+    many = spark.range(25).selectExpr("'m' media_id", "'ru' target", "id + 0.0625 start", "id + 0.5D `end`", "concat('s', id) source", "concat('t', id) translated")
+    wr.write_checkpoints(many, str(tmp_path / "many"), part_rows=10)
+    got = rd.read_checkpoints(spark, str(tmp_path / "many"))
+    assert got.count() == 25 and got.select("key").distinct().count() == 25
+    assert len(list((tmp_path / "many").glob("part-*"))) == 3
 
 
 def test_event_log(spark, tmp_path):
@@ -34,21 +42,29 @@ def test_event_log(spark, tmp_path):
     second = {"sequence": 2, "level": "error", "event": "x_failed", "details": {"exception": {"type": "E", "traceback": "t"}, "command": ["ffmpeg", "-i"]}}
     _put(root / name / "events.jsonl", json.dumps(first) + "\nnot json\n[1]\n")
     _put(root / name / "problems.jsonl", json.dumps(second) + "\n")
+    _put(root / name / "events.jsonl.1", json.dumps({"sequence": 0, "event": "older"}) + "\n")
     _put(root / name / "manifest.json", {"schema_version": 1, "artifact_type": "problem_session", "session_id": "s1", "status": "closed", "updated_at": "2026"})
     _put(root / "session_bad" / "manifest.json", {"schema_version": 1, "artifact_type": "problem_session", "session_id": "s2"})
     log = {r.sequence: r for r in rd.read_event_log(spark, str(root)).collect()}
-    assert sorted(log) == [1, 2] and log[1].stage == "asr" and log[1].files == ["a", "b"]
+    assert sorted(log) == [0, 1, 2] and log[1].stage == "asr" and log[1].files == ["a", "b"]
     assert log[2].has_traceback and log[2].command == "ffmpeg -i" and log[2].session_id == name
     diagnosed = ev.diagnose(rd.read_event_log(spark, str(root)))
-    assert {r.sequence: r.family for r in diagnosed.collect()} == {1: "runtime", 2: "external_process"}
+    assert {r.sequence: r.family for r in diagnosed.collect()} == {0: "runtime", 1: "runtime", 2: "external_process"}
     assert [r.session_id for r in rd.read_sessions(spark, str(root), "problem_session").collect()] == ["s1"]
-    wr.write_event_log(diagnosed.select("session_id", "sequence", "level", "event"), str(tmp_path / "split"))
-    assert {r.stream: r.level for r in spark.read.json(str(tmp_path / "split")).collect()} == {"timeline": "info", "problems": "error"}
+    wr.write_event_log(diagnosed, str(tmp_path / "split"))
+    again = {r.sequence: r for r in rd.read_event_log(spark, str(tmp_path / "split")).collect()}
+    assert sorted(again) == [0, 1, 2] and again[1].stage == "asr" and again[1].files == ["a", "b"] and again[2].session_id == name
+    assert again[2].has_traceback and again[2].command == "ffmpeg -i" and (again[1].level, again[2].level) == ("info", "error")
+    shutil.copy(root / name / "events.jsonl", tmp_path / "alone.jsonl")
+    _put(tmp_path / "one" / "s9" / "events.jsonl.2", json.dumps(first) + "\n")
+    assert [r.session_id for r in rd.read_event_log(spark, str(tmp_path / "one")).collect()] == ["s9"]
 
 
 def test_glossary(spark, tmp_path):
     _put(tmp_path / "g.json", {" RAM  disk ": " диск ", "": "x", "b": " "})
     assert [tuple(r) for r in rd.read_glossary(spark, str(tmp_path / "g.json")).collect()] == [("RAM disk", "диск", 0)]
+    _put(tmp_path / "bom.json", "\ufeff" + json.dumps({"a": "b"}))
+    assert [tuple(r) for r in rd.read_glossary(spark, str(tmp_path / "bom.json")).collect()] == [("a", "b", 0)]
 
 
 def test_queue_and_quarantine(spark, tmp_path):
