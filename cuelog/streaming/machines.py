@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,88 +33,143 @@ class StormRules:
     probe_interval: float = 0
 
 
-def storm_step(state: dict, rules: StormRules, kind: str, now: float) -> dict | None:
-    """Advance one service by one call; a dict to report, or None.
-
-    ``state``: failures, active, until, storms, good, since, held, began, rounds, probing.
+@dataclass
+class Outage:
+    """What is remembered of a service between triggers; ``until`` is NaN while it is calm."""
+    tail: list[float]     # latest failures of the calm, one less than the threshold
+    outages: int = 0
+    until: float = float("nan")
+    began: float = 0.0
+    rounds: int = 0
+    held: int = 0
+    streak: int = 0       # successes in a row after the pause
+    streak_from: float = 0.0
+    asked: bool = False   # a probe is under way
+
+    def pause(self, rules: StormRules, number: int) -> float:
+        return float(min(60, rules.initial_pause + (number - 1) * 15))
+
+
+def _next_from(times: np.ndarray, at: int, stop: int, moment: float) -> int:
+    """First index in at..stop whose time is not before ``moment``."""
+    return at + int(np.searchsorted(times[at:stop], moment, "left"))
+
+
+def outage_timeline(memory: Outage, times: np.ndarray, failed: np.ndarray, rules: StormRules) -> tuple[list[tuple[int, dict]], list[tuple[int, float]]]:
+    """Reports and pauses of a service's answers, in order; ``memory`` is carried on.
+
+    A report is (answer, columns); a pause is (answer after which it holds, its end; NaN: calm).
+    In the calm, an outage starts at the first failure that lies within the window of the
+    one ``threshold - 1`` before it, a lag over failures alone.  In an outage, answers are
+    taken in runs of one kind.  In a run of failures the pauses are extended by jumping
+    to the first failure after each pause; in a run of successes those after the pause are
+    counted the same way.
     """
-    if kind == "request":
-        if not state["active"]:
-            return {"event": "request", "claim": "normal"}
-        if now < state["until"] or state["probing"]:
-            return {"event": "request", "claim": "bypass"}
-        state["probing"] = True
-        return {"event": "request", "claim": "probe"}
-
-    recent = [t for t in state["failures"] if t >= now - rules.window_sec]
-    if kind == "failure":
-        # more than the threshold never matters: it only asks whether so many are recent
-        state["failures"] = ([*recent, now])[-rules.threshold:]
-        if not state["active"]:
-            if len(state["failures"]) < rules.threshold:
-                return None
-            state["storms"] += 1
-            pause = min(60, rules.initial_pause + (state["storms"] - 1) * 15)
-            state.update(active=True, until=now + pause, began=now, good=0, since=0.0, held=0, rounds=1, probing=False)
-            return {"event": "started", "pause_sec": float(pause), "rounds": 1}
-        state.update(held=state["held"] + 1, good=0, since=0.0, probing=False)
-        if now >= state["until"]:
-            state["rounds"] += 1
-            pause = min(60, rules.initial_pause + (state["rounds"] - 1) * 15)
-            state["until"] = now + pause
-            return {"event": "extended", "pause_sec": float(pause), "rounds": state["rounds"]}
-        return None
-
-    if not state["active"]:
-        state["failures"] = recent
-        return None
-    state["probing"] = False
-    if now < state["until"]:
-        return None
-    if state["since"] <= 0:
-        state["since"] = now
-    state["good"] += 1
-    if state["good"] >= rules.successes and now - state["since"] >= rules.recovery_min:
-        report = {"event": "finished", "duration_sec": round(now - state["began"], 3), "suppressed": state["held"],
-                  "rounds": state["rounds"]}
-        state.update(active=False, until=0.0, failures=[], good=0, since=0.0, held=0, rounds=0)
-        return report
-    if rules.probe_interval > 0:
-        state["until"] = now + rules.probe_interval
-    return None
-
-
-STORM_STATE = ("failures array<double>, active boolean, until double, storms int, good int, since double, held int, "
-               "began double, rounds int, probing boolean")
+    reports: list[tuple[int, dict]] = []
+    pauses: list[tuple[int, float]] = []
+    turns = np.append(np.flatnonzero(failed[1:] != failed[:-1]) + 1, len(times))
+    lag, at = rules.threshold - 1, 0
+    while at < len(times):
+        if np.isnan(memory.until):
+            fails = at + np.flatnonzero(failed[at:])
+            seen = np.concatenate([np.array(memory.tail, float), times[fails]])
+            dense = np.flatnonzero(seen[lag:] - seen[:len(seen) - lag] <= rules.window_sec) + lag - len(memory.tail)
+            dense = dense[dense >= 0]
+            if not len(dense):
+                memory.tail = seen[len(seen) - lag:].tolist() if 0 < lag <= len(seen) else (seen.tolist() if lag else [])
+                break
+            first = int(fails[dense[0]])
+            began, number = float(times[first]), memory.outages + 1
+            length = memory.pause(rules, number)
+            memory.__dict__.update(Outage([], number, began + length, began, 1).__dict__)
+            reports.append((first, {"event": "started", "pause_sec": length, "rounds": 1}))
+            pauses.append((first, memory.until))
+            at = first + 1
+            continue
+        stop = int(turns[np.searchsorted(turns, at, "right")])
+        if failed[at]:
+            memory.held += stop - at
+            memory.streak = 0
+            late = _next_from(times, at, stop, memory.until)
+            while late < stop:
+                memory.rounds += 1
+                length = memory.pause(rules, memory.rounds)
+                memory.until = float(times[late]) + length
+                reports.append((late, {"event": "extended", "pause_sec": length, "rounds": memory.rounds}))
+                pauses.append((late, memory.until))
+                late = _next_from(times, late + 1, stop, memory.until)
+            at = stop
+            continue
+        good = _next_from(times, at, stop, memory.until)
+        at = stop
+        while good < stop:
+            now = float(times[good])
+            memory.streak_from = memory.streak_from if memory.streak else now
+            memory.streak += 1
+            if memory.streak >= rules.successes and now - memory.streak_from >= rules.recovery_min:
+                reports.append((good, {"event": "finished", "duration_sec": round(now - memory.began, 3), "suppressed": memory.held, "rounds": memory.rounds}))
+                memory.__dict__.update(Outage([], memory.outages).__dict__)
+                pauses.append((good, memory.until))
+                at = good + 1
+                break
+            if rules.probe_interval > 0:
+                memory.until = now + rules.probe_interval
+                pauses.append((good, memory.until))
+            good = _next_from(times, good + 1, stop, memory.until)
+    return reports, pauses
+
+
+def request_claims(answers_before: np.ndarray, times: np.ndarray, start: float, asked: bool, pauses: list[tuple[int, float]]) -> tuple[list[str], bool]:
+    """What each request may do: ``normal`` in the calm, one ``probe`` after a pause for each answer, else ``bypass``.
+
+    ``answers_before``: answers of the trigger before each request.  ``start`` and ``asked`` are
+    the pause and probe the trigger begins with; the last value tells whether a probe of
+    these requests came after the last answer.
+    """
+    ends = np.array([start, *(end for _, end in pauses)])
+    until = ends[np.searchsorted([k for k, _ in pauses], answers_before, "left")] if len(times) else np.zeros(0)
+    calm = np.isnan(until)
+    open_for_probe = ~calm & (times >= np.nan_to_num(until)) & ~(asked & (answers_before == 0))
+    _, first = np.unique(answers_before[open_for_probe], return_index=True)
+    probes = np.flatnonzero(open_for_probe)[first]
+    claims = np.where(calm, "normal", "bypass").astype(object)
+    claims[probes] = "probe"
+    return claims.tolist(), set(answers_before[probes].tolist())
+
+
+STORM_STATE = ("tail array<double>, outages int, until double, began double, rounds int, held int, streak int, streak_from double, asked boolean")
 STORM_OUT = "service string, ts double, seq bigint, event string, claim string, pause_sec double, duration_sec double, suppressed int, rounds int"
-_START = {"failures": [], "active": False, "until": 0.0, "storms": 0, "good": 0, "since": 0.0, "held": 0,
-          "began": 0.0, "rounds": 0, "probing": False}
 
 
 def detect_storms(calls: DataFrame, settings: dict[str, dict] | None = None, **defaults) -> DataFrame:
     """Outages per service: started, extended, finished; a claim for each request row.
 
     Streaming input: service, ts (seconds), seq, kind (failure, success, request).
-    ``settings`` names rules per service, ``defaults`` those of all others.
+    ``settings`` names rules per service, ``defaults`` those of all others.  Rows with
+    another kind, or without a time, are left out.
     """
     rules = {name: StormRules(**{**defaults, **own}) for name, own in (settings or {}).items()}
     common = StormRules(**defaults)
+    names = [part.split()[0] for part in STORM_STATE.split(", ")]
 
     def run(key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        names = list(_START)
-        state = dict(zip(names, group.get)) if group.exists else {**_START, "failures": []}
-        state["failures"] = list(state["failures"])
-        out = []
+        memory = Outage(**dict(zip(names, group.get))) if group.exists else Outage([])
+        memory.tail = list(memory.tail)
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for ts, seq, kind in zip(rows["ts"], rows["seq"], rows["kind"]):
-            report = storm_step(state, rules.get(key[0], common), kind, float(ts))
-            if report:
-                out.append({"service": key[0], "ts": float(ts), "seq": int(seq), **report})
-        group.update(tuple(state[n] for n in names))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in STORM_OUT.split(", ")])
-        yield frame.astype({"suppressed": "Int32", "rounds": "Int32"})
-
-    narrow = calls.select(F.col("service").cast("string").alias("service"), "ts", "seq", "kind")
+        asks = (rows["kind"] == "request").to_numpy()
+        answers, requests = rows[~asks], rows[asks]
+        start, asked = memory.until, memory.asked
+        reports, pauses = outage_timeline(memory, answers["ts"].to_numpy(float), (answers["kind"] == "failure").to_numpy(), rules.get(key[0], common))
+        before = np.cumsum(~asks)[asks]
+        claims, probed = request_claims(before, requests["ts"].to_numpy(float), start, asked, pauses)
+        memory.asked = len(answers) in probed or (asked and not len(answers))
+        group.update(tuple(getattr(memory, n) for n in names))
+        told = answers.iloc[[k for k, _ in reports]][["ts", "seq"]].reset_index(drop=True).join(pd.DataFrame([r for _, r in reports]))
+        said = requests[["ts", "seq"]].assign(event="request", claim=claims)
+        out = pd.concat([told, said]).assign(service=key[0]).reindex(columns=[c.split()[0] for c in STORM_OUT.split(", ")])
+        yield out.sort_values(["ts", "seq"]).astype({"suppressed": "Int32", "rounds": "Int32", "pause_sec": float, "duration_sec": float})
+
+    narrow = calls.select(F.col("service").cast("string").alias("service"), "ts", "seq", "kind").filter("ts IS NOT NULL AND kind IN ('failure', 'success', 'request')")
     return narrow.groupBy("service").applyInPandasWithState(run, STORM_OUT, STORM_STATE, "append", "NoTimeout")
 
 
@@ -146,31 +202,30 @@ def provider_circuit(calls: DataFrame, base_cooldown: float = 60.0) -> DataFrame
 CIRCUIT_OUT = "provider string, ts double, seq bigint, reason string, streak int, cooldown_until double, available boolean"
 
 
-def circuit_step(state: dict, reason: str | None, now: float, base: float) -> dict:
-    """Advance one provider by one call.  ``state``: reason, streak, until."""
-    free = state["until"] <= now
-    if reason is None:
-        state.update(reason="", streak=0, until=0.0)
-    else:
-        state["streak"] = state["streak"] + 1 if reason == state["reason"] else 1
-        state["reason"] = reason
-        pause = min(base * 2 ** min(state["streak"] - 1, 4), 900.0) if reason == "rate_limit" else base
-        state["until"] = max(state["until"], now + pause)
-    return {"streak": state["streak"], "cooldown_until": state["until"], "available": free}
-
-
 def provider_circuit_stream(calls: DataFrame, base_cooldown: float = 60.0) -> DataFrame:
-    """The same columns as :func:`provider_circuit`, kept up to date on a stream."""
+    """The same columns as :func:`provider_circuit`, kept up to date on a stream.
+
+    A trigger's rows are worked on as columns, like the batch: runs of one reason give
+    the streak, stretches between successes the largest end of a pause.  The last reason,
+    its streak and the pause go on to the next trigger.
+    """
     def run(key, frames, group) -> Iterator[pd.DataFrame]:
         reason, streak, until = group.get if group.exists else ("", 0, 0.0)
-        state, out = {"reason": reason, "streak": streak, "until": until}, []
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for ts, seq, why in zip(rows["ts"], rows["seq"], rows["reason"]):
-            why = why if isinstance(why, str) else None
-            out.append({"provider": key[0], "ts": float(ts), "seq": int(seq), "reason": why,
-                        **circuit_step(state, why, float(ts), base_cooldown)})
-        group.update((state["reason"], state["streak"], state["until"]))
-        yield pd.DataFrame(out)
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"]).reset_index(drop=True)
+        why = rows["reason"].where(rows["reason"].notna(), "").astype(str)
+        good = why == ""
+        runs = (why != why.shift(fill_value=reason)).cumsum()
+        length = why.groupby(runs).cumcount() + 1 + (runs == 0) * streak
+        length = length.where(~good, 0)
+        pause = (base_cooldown * 2.0 ** (length - 1).clip(0, 4)).clip(upper=900.0).where(why == "rate_limit", base_cooldown)
+        ends = (rows["ts"] + pause).where(~good, 0.0)
+        stretch = good.cumsum()
+        held = ends.groupby(stretch).cummax()
+        held = held.where(stretch > 0, held.clip(lower=until)).where(~good, 0.0)
+        free = held.shift(fill_value=until) <= rows["ts"]
+        group.update((str(why.iloc[-1]), int(length.iloc[-1]), float(held.iloc[-1])))
+        yield pd.DataFrame({"provider": key[0], "ts": rows["ts"], "seq": rows["seq"], "reason": rows["reason"].where(~good, None),
+                            "streak": length.astype("int32"), "cooldown_until": held, "available": free})
 
     narrow = calls.select(F.col("provider").cast("string").alias("provider"), "ts", "seq", "reason")
     return narrow.groupBy("provider").applyInPandasWithState(

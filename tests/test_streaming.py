@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuelog.operators import events as ev
@@ -41,15 +42,49 @@ def test_circuit_batch_equals_steps(spark, tmp_path):
         t += rng.choice([1, 20, 100, 700])
         rows.append((rng.choice(["a", "a", "b"]), float(t), i, rng.choice([None, "rate_limit", "rate_limit", "timeout"])))
     df = spark.createDataFrame(rows, "provider string, ts double, seq bigint, reason string")
-    states, want = {}, {}
-    for provider, ts, seq, reason in rows:
-        state = states.setdefault(provider, {"reason": "", "streak": 0, "until": 0.0})
-        r = mc.circuit_step(state, reason, ts, 60.0)
-        want[seq] = (r["streak"], r["cooldown_until"], r["available"])
+    want = {}
+    for name in ("a", "b"):
+        mine = [r for r in rows if r[0] == name]
+        for k, (_, ts, seq, reason) in enumerate(mine):
+            back = next((j for j in range(k, -1, -1) if mine[j][3] is None), -1)  # the last success so far
+            run = next(n for n in range(k + 2) if n > k or mine[k - n][3] != reason) if reason else 0
+            ends = []
+            for j in range(back + 1, k + 1):
+                length = next(n for n in range(j + 2) if n > j or mine[j - n][3] != mine[j][3])
+                ends.append(mine[j][1] + (min(60.0 * 2 ** min(length - 1, 4), 900.0) if mine[j][3] == "rate_limit" else 60.0))
+            want[seq] = (run, max(ends, default=0.0))
     batch = {r.seq: (r.streak, r.cooldown_until, r.available) for r in mc.provider_circuit(df).collect()}
-    assert batch == want
+    assert {k: v[:2] for k, v in batch.items()} == want
     live = lv.drain(mc.provider_circuit_stream(_stream(spark, tmp_path, df)))
-    assert {r.seq: (r.streak, r.cooldown_until, r.available) for r in live.collect()} == want
+    assert {r.seq: (r.streak, r.cooldown_until, r.available) for r in live.collect()} == batch
+
+
+def test_storms_do_not_depend_on_triggers(spark):
+    """Whole, in pieces and answer by answer, the timeline is the same; pauses hold back requests."""
+    rng = random.Random(21)
+    for rules in (mc.StormRules(3, 30, 10, 2, 5), mc.StormRules(2, 20, 10, 2, 8, 6), mc.StormRules(1, 5, 10, 1)):
+        t, rows = 0.0, []
+        for _ in range(400):
+            t += rng.choice([0, 1, 3, 9, 25])
+            rows.append((t, rng.choice(["failure", "failure", "success", "success", "request"])))
+        seen = []
+        for size in (1, 7, 400):
+            memory, out = mc.Outage([]), []
+            for k in range(0, 400, size):
+                part = rows[k:k + size]
+                answers = [r for r in part if r[1] != "request"]
+                before = [sum(x[1] != "request" for x in part[:i]) for i, r in enumerate(part) if r[1] == "request"]
+                start, asked = memory.until, memory.asked
+                reports, pauses = mc.outage_timeline(memory, np.array([a[0] for a in answers]), np.array([a[1] == "failure" for a in answers], bool), rules)
+                claims, probed = mc.request_claims(np.array(before, int), np.array([r[0] for r in part if r[1] == "request"]), start, asked, pauses)
+                memory.asked = len(answers) in probed or (asked and not answers)
+                out.append(([(answers[i][0], r) for i, r in reports], claims))
+            seen.append(([r for reports, _ in out for r in reports], [c for _, claims in out for c in claims]))
+        assert seen[0] == seen[1] == seen[2]
+        events = [r["event"] for _, r in seen[0][0]]
+        assert {"started", "finished", "extended"} <= set(events) and {"normal", "probe", "bypass"} <= set(seen[0][1])
+        calm = [e for e in events if e != "extended"]
+        assert calm == ["started", "finished"] * (len(calm) // 2) + ["started"] * (len(calm) % 2)
 
 
 def test_circuit_golden(spark):
