@@ -19,6 +19,7 @@ COOKIE = r"(cookie|set-cookie)(\s*[:=]\s*)[^\r\n]+"
 SECRET_KEY = r"(password|secret|token|api.?key|authorization)"
 NUMERIC_TOKEN = "\\d+(?:(?:[.,:/-]\\d+)|(?:[ \u00A0]\\d{3}))*"
 PROTECTED_TOKEN = r"(?:https?://[^\s<>]+|www\.[^\s<>]+|[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})"
+WORD = r"[\p{L}\p{N}_]"
 LATIN = r"A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 CYRILLIC = r"А-Яа-яЁё"
 SCRIPT_RANGES = {
@@ -100,12 +101,9 @@ def _mask(text: Column) -> Column:
 
 
 def _cut(text: Column, length: int, keep: int, mark: str) -> Column:
-    """Texts over ``length`` become their first ``keep`` characters and ``mark``.
-
-    Done by pattern, so that the (long) text expression occurs once in the plan.
-    """
-    cut = F.regexp_replace(text, rf"(?s)^(.{{{keep}}}).{{{length - keep + 1},}}$", "$1\0")
-    return F.regexp_replace(cut, rf"(?U){SPACE}*\x00$", mark)
+    """Texts over ``length`` become their first ``keep`` characters, without white space at the end, and ``mark``."""
+    short = lambda v: F.regexp_replace(F.substring(v["t"], 1, keep), rf"(?U){SPACE}+$", "")
+    return let(lambda v: F.when(F.length(v["t"]) <= length, v["t"]).otherwise(F.concat(short(v), F.lit(mark))), t=text)
 
 
 def redact(text, max_len: int = 30000) -> Column:
@@ -137,7 +135,7 @@ def signature_text(text) -> Column:
 
 def word_normalize(text) -> Column:
     """The lower-case words of a text with single blanks between them."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(f"({WORD}+)"), F.lit(1))
     return F.array_join(words, " ")
 
 
@@ -156,10 +154,10 @@ def protected_tokens(text) -> Column:
 
 def tokens_preserved(source: Column, target: Column) -> Column:
     """True if no token of ``source`` occurs less often in ``target``."""
-    def count(tokens, token):
-        return F.size(F.filter(tokens, lambda t: t == token))
-    return let(lambda v: F.forall(F.array_distinct(v["s"]), lambda t: count(v["s"], t) <= count(v["t"], t)),
-               s=source, t=target)
+    # copies of a token stand together once sorted: the n-th copy in the source needs an n-th copy in the target
+    def numbered(tokens):
+        return let(lambda v: F.transform(v["s"], lambda t, i: F.struct(t.alias("t"), (i - F.array_position(v["s"], t)).alias("n"))), s=F.array_sort(tokens))
+    return F.size(F.array_except(numbered(source), numbered(target))) == 0
 
 
 def shared_words(source_words: Column, target_words: Column, allowed: list[str]) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,43 +32,64 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
-def _redact_text(text: str, max_len: int = 6000) -> str:
-    text = re.sub(URL_QUERY, r"\1?...", text)
-    text = re.sub(LABELLED_URL_QUERY, r"\1?...", text, flags=re.I)
-    for pattern in (CLIENT_TOKEN, CONNECTION_ID):
-        text = re.sub(pattern, r"\1...", text, flags=re.I)
-    text = re.sub(AUTHORIZATION, rf"\1{HIDDEN}", text, flags=re.I)
-    for pattern in (KEY_OR_TOKEN, COOKIE):
-        text = re.sub(pattern, rf"\1\2{HIDDEN}", text, flags=re.I)
-    return text if len(text) <= max_len else text[: max_len - 20].rstrip() + CUT_MARK
-
-
-def _redact_node(node, depth: int):
-    if depth > 5:
-        return TOO_DEEP
-    if isinstance(node, str):
-        return _redact_text(node)
-    if isinstance(node, dict):
-        return {k: HIDDEN if re.search(SECRET_KEY, k, re.I) else _redact_node(v, depth + 1)
-                for k, v in node.items()}
-    if isinstance(node, list):
-        shown = [_redact_node(v, depth + 1) for v in node[:200]]
-        if len(node) <= 200:
-            return shown
-        return {"items": shown, "total_count": len(node), "shown_count": 200, "truncated": True}
-    return node
-
-
-def _signature_node(node):
-    if isinstance(node, str):
-        text = re.sub(r"(?:https?|wss?)://[^\s]+", "<url>", node.lower())
-        text = re.sub(r"\b[0-9a-f]{16,}\b", "<hash>", text)
-        return re.sub(r"\b\d+(?:\.\d+)?\b", "<n>", text)[:500]
-    if isinstance(node, dict):
-        return {k: _signature_node(node[k]) for k in sorted(node) if k not in VOLATILE_KEYS}
-    if isinstance(node, list):
-        return [_signature_node(v) for v in node[:20]]
-    return node
+#: What is hidden in a text: pattern and what takes its place, in this order.
+SCRUBS = [(re.compile(URL_QUERY), r"\1?..."), (re.compile(LABELLED_URL_QUERY, re.I), r"\1?..."), (re.compile(CLIENT_TOKEN, re.I), r"\1..."),
+          (re.compile(CONNECTION_ID, re.I), r"\1..."), (re.compile(AUTHORIZATION, re.I), rf"\1{HIDDEN}"),
+          (re.compile(KEY_OR_TOKEN, re.I), rf"\1\2{HIDDEN}"), (re.compile(COOKIE, re.I), rf"\1\2{HIDDEN}")]
+#: What varies between two reports of one problem.
+MASKS = [(re.compile(r"(?:https?|wss?)://[^\s]+"), "<url>"), (re.compile(r"\b[0-9a-f]{16,}\b"), "<hash>"), (re.compile(r"\b\d+(?:\.\d+)?\b"), "<n>")]
+
+
+def _replaced(text: str, table: list) -> str:
+    return reduce(lambda out, rule: rule[0].sub(rule[1], out), table, text)
+
+
+@dataclass(frozen=True)
+class Reshape:
+    """How a JSON value is copied: what becomes of texts, members, list items and depths."""
+    text: Callable[[str], str]
+    member: Callable[[str], str | None]  # "keep", "drop", or what stands for the value
+    items: int
+    counted: bool      # a shortened list says how long it was
+    depth: int | None
+    ordered: bool
+
+    def copy(self, value):
+        """The copy, built from a work list, so deep values need no deep call stack."""
+        out: list = [None]
+        work: list[tuple] = [(value, 0, out, 0)]
+        while work:
+            node, level, holder, place = work.pop()
+            if self.depth is not None and level > self.depth:
+                holder[place] = TOO_DEEP
+            elif isinstance(node, str):
+                holder[place] = self.text(node)
+            elif isinstance(node, dict):
+                holder[place] = made = {}
+                for key in sorted(node) if self.ordered else node:
+                    fate = self.member(key)
+                    if fate == "keep":
+                        made[key] = None
+                        work.append((node[key], level + 1, made, key))
+                    elif fate != "drop":
+                        made[key] = fate
+            elif isinstance(node, list):
+                shown = [None] * min(len(node), self.items)
+                short = self.counted and len(node) > self.items
+                holder[place] = {"items": shown, "total_count": len(node), "shown_count": self.items, "truncated": True} if short else shown
+                work.extend((node[k], level + 1, shown, k) for k in range(len(shown)))
+            else:
+                holder[place] = node
+        return out[0]
+
+
+def _without_secrets(text: str, most: int = 6000) -> str:
+    clean = _replaced(text, SCRUBS)
+    return clean if len(clean) <= most else clean[:most - 20].rstrip() + CUT_MARK
+
+
+REDACTED = Reshape(_without_secrets, lambda key: HIDDEN if re.search(SECRET_KEY, key, re.I) else "keep", 200, True, 5, False)
+SIGNATURE = Reshape(lambda text: _replaced(text.lower(), MASKS)[:500], lambda key: "drop" if key in VOLATILE_KEYS else "keep", 20, False, None, True)
 
 
 def _each(texts: pd.Series, change) -> pd.Series:
@@ -82,13 +105,16 @@ def _each(texts: pd.Series, change) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def redact_details(texts: pd.Series) -> pd.Series:
     """Redacted copy of a JSON text: secret keys, text values, depth and list limits."""
-    return _each(texts, lambda node: _redact_node(node, 0))
+    return _each(texts, REDACTED.copy)
 
 
 @F.pandas_udf(T.StringType())
 def signature_details(texts: pd.Series) -> pd.Series:
     """Stable form of a JSON text: volatile keys dropped, keys sorted, values normalised."""
-    return _each(texts, _signature_node)
+    return _each(texts, SIGNATURE.copy)
+
+
+_LAST_SPACE = re.compile(r"(?s).*\s")
 
 
 @F.udtf(returnType=T.StructType().add("part_no", T.IntegerType()).add("part", T.StringType()))
@@ -96,15 +122,13 @@ class SplitText:
     """One row per part of a long text, for lateral joins."""
 
     def eval(self, text: str, limit: int = 3900) -> Iterator[tuple[int, str]]:
-        text, offset, number = text or "", 0, 0
-        while offset < len(text):
-            window = text[offset:offset + limit]
-            cut = len(window)
-            if len(text) - offset > limit:
-                ends = [m.end() for m in re.finditer(r"\s+", window) if m.end() >= limit // 2]
-                cut = ends[-1] if ends else limit
-            yield number, text[offset:offset + cut]
-            offset, number = offset + cut, number + 1
+        rest, number = text or "", 0
+        while rest:
+            # the last white space of a full window, if it is in the window's second half
+            space = _LAST_SPACE.match(rest[:limit]) if len(rest) > limit else None
+            size = space.end() if space and space.end() >= limit // 2 else limit
+            yield number, rest[:size]
+            rest, number = rest[size:], number + 1
 
 
 split_text_udtf = SplitText

@@ -45,37 +45,24 @@ RATE_LIMIT_EVENTS = ["translation_rate_limit_detected", "translation_batch_defer
 CRITICAL_EVENTS = ["worker_thread_crashed", "application_startup_failed"]
 # ---- end of fixed values ----
 
-#: Advice per playbook: (playbook, likely_cause, recommended_fix, verification).
+#: Advice per playbook: (playbook, what usually lies behind it, what to do, how to know that it worked).
 PLAYBOOKS = [
-    ("network_retry", "Unstable route, time-out or a limit set by the outside service.",
-     "Check bounded retries, time-outs and the storm pause; resume from the checkpoint.",
-     "Run the same file again: the series recovers or ends in one clear error with progress kept."),
-    ("translation_rate_limit", "The translation service limits this address or its endpoint is down.",
-     "Switch to the other endpoint; if none is healthy use one cool-down, one probe and an early safe stop.",
-     "With one endpoint refusing, segments finish over the other; with none, the number of requests stays bounded."),
-    ("media_validation", "The streams of the output do not match the expected durations.",
-     "Compare exit code, expected and actual stream ends, tolerance and frame rounding of pauses.",
-     "A correct file passes and a cut one is refused with its reason."),
-    ("user_cancel", "A person asked to stop.", "Do not treat as a fault unless nobody asked.",
-     "Cancel by hand: the source stays and the unfinished batch can be resumed."),
-    ("translation_provider_response", "The service returned an error or block page as text.",
-     "Refuse unchecked text before it reaches checkpoint or speech; retry within limits.",
-     "Feed an error page: it is refused, retried and never stored; a plain translation passes."),
-    ("translation_tts", "Translation or speech service failed, or answered wrongly for one segment.",
-     "Match segment, provider and last exception; keep finished segments.",
-     "Run again: cache and checkpoint are used and all segments are counted."),
-    ("ffmpeg_process", "The media tool failed, refused an option or left a partial result.",
-     "Repeat the command, check exit code and the end of its error output.",
-     "Run the command on the same input and probe the result."),
-    ("files_paths", "A file is missing, in use, changed or its path is not supported.",
-     "Check existence, access, path length and name clashes.", "Repeat with the same path."),
-    ("recovery_cache", "A checkpoint or cache entry was not written, is old or belongs to another input.",
-     "Check atomic writes, the input's signature and that only own entries are cleaned.",
-     "Interrupt a run: only unfinished items continue."),
-    ("application_exception", "Known from the first exception and the stage before it.",
-     "Find where the exception first arose and fix that.", "Add a small test that repeats the failure."),
+    ("network_retry", "The line to an outside service drops or is throttled.", "Let the retries run out, wait for the pause to end, then continue from stored progress.",
+     "A second run gets past this point, or stops with a single error and nothing lost."),
+    ("translation_rate_limit", "Too many requests were sent from here, or the translator is unreachable.", "Use another endpoint where there is one; otherwise pause, try once, and stop early.",
+     "Request counts stay flat while the limit lasts."),
+    ("media_validation", "Audio and video of a result have lengths that do not agree with the plan.", "Put planned and measured lengths side by side, stream by stream.",
+     "An intact result is accepted and a shortened one is not."),
+    ("user_cancel", "Work was stopped on request.", "Nothing to mend if someone did ask for it.", "The stopped work can be taken up again."),
+    ("translation_provider_response", "An error page was taken for a translation.", "Reject such text before it is stored or spoken, and ask again.", "No stored entry contains an error page."),
+    ("translation_tts", "A single phrase failed in translation or synthesis.", "Look at that phrase, its provider and the error; leave the finished ones alone.", "Only the failed phrases are done again."),
+    ("ffmpeg_process", "The encoder exited with an error or without finishing.", "Read the last lines it printed and repeat its command by hand.", "The repeated command yields a file that can be probed."),
+    ("files_paths", "A path does not exist, is locked, or cannot be written.", "Look at rights, length and duplicates of the path.", "The same path works."),
+    ("recovery_cache", "Saved progress is outdated, foreign or incomplete.", "Compare it with the present input and discard only what differs.", "After an interruption, finished items are not repeated."),
+    ("application_exception", "A fault in the program itself.", "Go to the place that raised it first.", "A test reproduces the fault and passes once it is mended."),
 ]
 
+# ---- fixed values: categories by which improvements are grouped ----
 #: Improvement candidates by category: (area, categories, priority with errors, priority without, needs errors).
 CATEGORY_RULES = [
     ("translation_response_validation", ["translation_provider_response"], "high", "high", False),
@@ -86,6 +73,7 @@ CATEGORY_RULES = [
     ("recovery", ["recovery_and_cache", "cache"], "medium", "medium", False),
     ("application_code", ["application", "runtime", "unknown"], "high", "high", True),
 ]
+# ---- end of fixed values ----
 
 
 def with_details(events: DataFrame) -> DataFrame:

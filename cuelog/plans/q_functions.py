@@ -44,7 +44,7 @@ _over("compact_error", "v_ev", EVENT, lambda: tx.compact_error(F.concat("message
       r"""substr(regexp_replace(ltrim(regexp_replace(message, '(https://[^? ]+)\?[^ ]*', '\1?...') || ' ') || 'TrustedClientToken=...&x ' || repeat('z', 400), '\s+', ' ', 'g'), 1, 357) || '...'""")
 _over("preview", "documents", DOC, lambda: tx.preview("text"), rf"CASE WHEN length({COLLAPSED}) > 320 THEN regexp_replace(substr({COLLAPSED}, 1, 317), '\s+$', '') || '...' ELSE {COLLAPSED} END")
 _over("signature_text", "v_ev", EVENT, lambda: tx.signature_text("message"), r"regexp_replace(regexp_replace(lower(message), 'https://[^ ]+', '<url>'), '\b\d+\b', '<n>', 'g')")
-_over("word_normalize", "documents", DOC, lambda: F.md5(tx.word_normalize("text")), r"md5(array_to_string(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'), ' '))")
+_over("word_normalize", "documents", DOC, lambda: F.md5(tx.word_normalize("text")), r"md5(array_to_string(regexp_extract_all(lower(text), '[\pL\pN_]+'), ' '))")
 _over("numeric_tokens", "documents", DOC, lambda: F.array_join(tx.numeric_tokens("text"), ","),
       r"array_to_string([regexp_replace(t, '[^0-9]', '', 'g') FOR t IN regexp_extract_all(text, '\d+(?:(?:[.,:/-]\d+)|(?:[ \x{00A0}]\d{3}))*')], ',')")
 _over("protected_tokens", "v_pair", PAIR, lambda: F.array_join(tx.protected_tokens("source"), ","),

@@ -190,7 +190,7 @@ def _(spark, sf):
     return out.select("pair_id", F.length("translated").alias("text_length"))
 
 
-TOKEN = r"[\pL\pM\pN_]+"
+TOKEN = r"[\pL\pN_]+"
 
 
 @register("apply_glossary", with_views(rf"""
@@ -199,7 +199,7 @@ TOKEN = r"[\pL\pM\pN_]+"
     FROM (SELECT pair_id, t, n, g.* FROM tok LEFT JOIN (SELECT pair_id AS p, source_term, target_term FROM hits) g
           ON g.p = tok.pair_id AND g.source_term = lower(t)) GROUP BY pair_id""", "v_pair", "v_gloss",
     tok=rf"""SELECT pair_id, unnest(l) AS t, generate_subscripts(l, 1) AS n FROM (
-        SELECT pair_id, CASE WHEN translated = '' THEN [''] ELSE regexp_extract_all(translated, '{TOKEN}|[^\pL\pM\pN_]+') END AS l FROM v_pair)""",
+        SELECT pair_id, CASE WHEN translated = '' THEN [''] ELSE regexp_extract_all(translated, '{TOKEN}|[^\pL\pN_]+') END AS l FROM v_pair)""",
     hits=rf"""SELECT DISTINCT pair_id, source_term, target_term FROM (
         SELECT pair_id, unnest(regexp_extract_all(lower(source), '{TOKEN}')) AS w FROM v_pair) JOIN v_gloss ON w = source_term"""))
 def _(spark, sf):

@@ -56,7 +56,7 @@ def _(spark, sf):
     return slots.select("media_id", "ord", *[F.round(c, 3).alias(c) for c in ("spoken_slot", "target_slot", "hard_slot")])
 
 
-NORM = r"array_to_string(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'), ' ')"
+NORM = r"array_to_string(regexp_extract_all(lower(text), '[\pL\pN_]+'), ' ')"
 RUNS = f"""SELECT *, sum(CASE WHEN is_repeat THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY "start", ord) AS run_id
     FROM (SELECT *, norm <> '' AND coalesce(norm = lag(norm) OVER (PARTITION BY media_id ORDER BY "start", ord), false)
           AS is_repeat FROM (SELECT *, {NORM} AS norm FROM v_asr))"""

@@ -95,11 +95,11 @@ def v_ckpt(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("ord"))
 
 
-def v_gloss(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    """The ``n`` most frequent lower-case words of the benchmark texts, mapped to upper case."""
+def v_gloss(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
+    """The lower-case words that the benchmark texts have ``n`` times or more, mapped to upper case."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.expr("regexp_extract_all(text, '([a-z]+)', 1)")).alias("w"))
-    top = words.filter("length(w) > 2").groupBy("w").count().orderBy(F.desc("count"), "w").limit(n)
-    return top.select(F.col("w").alias("source_term"), F.upper("w").alias("target_term"))
+    often = words.filter("length(w) > 2").groupBy("w").count().filter(F.col("count") >= n)
+    return often.select(F.col("w").alias("source_term"), F.upper("w").alias("target_term"))
 
 
 # ---------------------------------------------------------------- events
@@ -233,7 +233,7 @@ SQL: dict[str, str] = {
         ELSE lower(text) END AS translated FROM v_key WHERE role <> 'user'""",
     "v_gloss": """SELECT w AS source_term, upper(w) AS target_term FROM (
         SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark)
-        WHERE length(w) > 2 GROUP BY w ORDER BY n DESC, w LIMIT 50)""",
+        WHERE length(w) > 2 GROUP BY w HAVING count(*) >= 5)""",
     "v_ev": r"""SELECT user_id AS session_id, event_id AS sequence, ts,
         CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END AS level,
         CASE event_type

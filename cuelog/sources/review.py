@@ -30,11 +30,12 @@ def export_review(pairs: DataFrame, part_rows: int = 5000) -> DataFrame:
 def import_review(documents: DataFrame) -> DataFrame:
     """Edited texts by block number: media_id, seg_index, edited.
 
-    Numbers no segment has fall away when the edits are joined to the pairs.
+    The last block of a number counts.  Numbers no segment has fall away when the edits are joined to the pairs.
     """
     text = F.regexp_replace("document", r"\r\n?", "\n")
-    found = documents.select("media_id", F.explode(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))).alias("b"))
+    part = F.col("part") if "part" in documents.columns else F.lit(0)
+    found = documents.select("media_id", part.alias("_part"), F.posexplode(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))).alias("_at", "b"))
     edited = F.regexp_extract("b", rf"(?ms)^{TARGET_LINE}\n(.*?)^{END_LINE}\s*$", 1)
-    blocks = found.select("media_id", F.regexp_extract("b", r"^###\s+(\d+)", 1).cast("bigint").alias("seg_index"),
+    blocks = found.select("media_id", F.struct("_part", "_at").alias("_place"), F.regexp_extract("b", r"^###\s+(\d+)", 1).cast("bigint").alias("seg_index"),
                           strip(edited).alias("edited"))
-    return blocks.groupBy("media_id", "seg_index").agg(F.last("edited").alias("edited"))
+    return blocks.groupBy("media_id", "seg_index").agg(F.max_by("edited", "_place").alias("edited"))

@@ -50,8 +50,9 @@ def voice_status(events: DataFrame) -> DataFrame:
     fallback = (F.when(event.isin("file_pipeline_started", "tts_voice_preservation_started"), "")
                 .when(event == "tts_gtts_fallback_enabled", "gtts")
                 .when(event == "tts_summary", F.when(F.coalesce("fallback_count", F.lit(0)) > 0, "gtts").otherwise("")))
-    voice = F.when(event.isin("file_pipeline_started", "tts_voice_preservation_started", "tts_gtts_fallback_enabled", "tts_summary"),
-                   F.nullif("voice", F.lit("")))
+    # a new file or a preserved voice sets the voice even where it names none
+    voice = (F.when(event.isin("file_pipeline_started", "tts_voice_preservation_started"), F.coalesce("voice", F.lit("")))
+             .when(event.isin("tts_gtts_fallback_enabled", "tts_summary"), F.nullif("voice", F.lit(""))))
     last = events.groupBy("session_id").agg(*[
         F.coalesce(F.max_by(value, F.when(value.isNotNull(), at)), F.lit(default)).alias(name)
         for name, value, default in (("status", status, "idle"), ("fallback_provider", fallback, ""), ("selected_voice", voice, ""))])

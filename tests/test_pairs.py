@@ -70,15 +70,15 @@ def test_validate_response(spark):
         assert got[(text, source)] == (reason, reason == "ok")
 
 
-def test_glossary_both_ways(spark):
+def test_glossary(spark):
     terms = [("CUDA", "КУДА", 0), ("RAM", "ОЗУ", 1), ("RAM disk", "диск $1", 2), ("C++", "Си\\плюс", 3), ("_x", "икс", 4)]
     gloss = spark.createDataFrame(terms, "source_term string, target_term string, ord bigint")
     pairs = spark.createDataFrame([(1, 1, "CUDA and RAM", "cuda и RAM, RAMP"), (1, 2, "nothing", "CUDA"),
                                    (1, 3, "a RAM disk in C++", "RAM disk C++ C++x"), (1, 4, "call a_x", "a_x")],
                                   "media_id int, seg_index int, source string, translated string")
     want = {1: ("КУДА и ОЗУ, RAMP", 2), 2: ("CUDA", 0), 3: ("диск $1 Си\\плюс Си\\плюсx", 3), 4: ("aикс", 1)}
-    for limit in (500, 1):
-        out = pr.apply_glossary(pairs, gloss, literal_terms=limit)
+    for some in (gloss, gloss.unionByName(gloss.selectExpr("concat('zz', source_term) source_term", "target_term", "ord"))):
+        out = pr.apply_glossary(pairs, some)
         assert {r.seg_index: (r.translated, r.replacements) for r in out.collect()} == want
 
 
