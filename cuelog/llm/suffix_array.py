@@ -180,13 +180,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, group: in
             salts = -(-classes // group)
             yield (int(found["name"][k]), int(found["span"][k]), int(found["span"][k]) % salts, salts > 1, key, first, n, min(2, int(found["count"][k])), text[first:first + n + length - 1].tobytes())
 
-    spans = cut_lineage(contents(multi, base, cut, SPAN)).dropDuplicates(["name", "span"])
+    spans = cut_lineage(contents(multi, base, cut, SPAN))
     release(docs.sparkSession)
     solved = "key long, first int, n int, span long, bits binary, name long, window long, weight int, place int"
     arrow = to_arrow_schema(schema_of(solved))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["name", "salt"], 2 << 20):
+            # rows that share an id give the same span more than once
+            names, hashes = (table.column(c).to_numpy() for c in ("name", "span"))
+            table = table.take(np.sort(np.unique(np.stack([names, hashes]), axis=1, return_index=True)[1]))
             rows = []
             columns = {c: table.column(c).to_pylist() for c in ("name", "span", "salted", "key", "first", "n", "weight", "content")}
             told: set[int] = set()

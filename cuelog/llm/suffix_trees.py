@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Rolling, append_columns, cut_lineage, mix, schema_of, words_of
+from .common import Rolling, append_columns, buffers, cut_lineage, mix, schema_of, words_of
 from .repeats import (Lists, classes_of, contents, covered, find_runs, marks_by_document, release, repeated_runs, right_place, unzip, whole_groups, zipped)
 
 
@@ -54,23 +54,27 @@ def deep_nodes(words: np.ndarray) -> np.ndarray:
 
 
 SPAN = "name long, span long, key long, first int, content binary"
-SUFFIX = "part long, level int, key long, at int, window long, content binary"
+SUFFIX = "part long, level int, key long, at int, content binary"
 
 
 def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, words, window hash) of every window of the spans in a batch."""
-    keys = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
-    firsts = batch.column(batch.schema.get_field_index("first")).to_numpy(zero_copy_only=False)
-    key, at, words, window = [], [], [], []
-    for k, content in enumerate(batch.column(batch.schema.get_field_index("content")).to_pylist()):
-        symbols = np.frombuffer(content, np.uint64)
-        n = len(symbols) - length + 1
-        places = np.arange(n)
-        key.append(np.full(n, keys[k]))
-        at.append(firsts[k] + places)
-        words.append(np.lib.stride_tricks.sliding_window_view(symbols, length))
-        window.append(Rolling(symbols).of(places, places + length))
-    return np.concatenate(key), np.concatenate(at), np.concatenate(words), np.concatenate(window)
+    data, offsets = buffers(batch.column(batch.schema.get_field_index("content")))
+    symbols = np.frombuffer(data[offsets[0]:offsets[-1]].tobytes(), np.uint64)
+    begin = (offsets[:-1] - offsets[0]) // 8
+    n = (offsets[1:] - offsets[:-1]) // 8 - length + 1
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(begin, n) + within
+    column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+    return (np.repeat(column("key"), n), np.repeat(column("first"), n) + within,
+            np.lib.stride_tricks.sliding_window_view(symbols, length)[start], Rolling(symbols).of(start, start + length))
+
+
+def _codes(words: np.ndarray, window: np.ndarray) -> pa.Array:
+    """16 bits of every word and the window's 64-bit hash, high byte first: suffixes with equal codes have equal words."""
+    rows = np.concatenate([(words >> np.uint64(48)).astype(np.uint16), np.ascontiguousarray(window).byteswap().view(np.uint16).reshape(-1, 4)], axis=1)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (2 * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
 
 
 def full_prefixes(spans: DataFrame, length: int, most: int, unseen: int = 64) -> DataFrame:
@@ -131,48 +135,48 @@ def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int
             first = int(found["first"][k])
             yield int(found["name"][k]), int(found["span"][k]), key, first, symbols[first:first + int(found["n"][k]) + length - 1].tobytes()
 
-    spans = cut_lineage(contents(multi, base, cut, SPAN)).dropDuplicates(["name", "span"])
+    spans = cut_lineage(contents(multi, base, cut, SPAN))
     release(spark)
     total = multi.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     full = spark.sparkContext.broadcast({(r.level, r.prefix) for r in full_prefixes(spans, length, max(group, total // groups)).collect()})
+    release(spark)
     schema = to_arrow_schema(schema_of(SUFFIX))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         too_full = [np.array(sorted(p for level, p in full.value if level == k + 1), np.int64) for k in range(length)]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, at, words, window = _suffixes(batch, length)
-            prefixes = prefix_hashes(words).view(np.int64)
-            level = np.zeros(len(key), np.int64)
-            for k in range(length):
-                level[(level == k) & np.isin(prefixes[:, k], too_full[k])] = k + 1
-            part = prefixes[np.arange(len(key)), np.minimum(level, length - 1)]
-            # 32 bits of every word, and the window's hash, tell suffixes apart.
-            codes = np.concatenate([(words >> np.uint64(32)).astype(np.uint32), window.view(np.uint32).reshape(-1, 2)], axis=1)
-            for a in range(0, len(key), 20_000):
-                rows = codes[a:a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[a:a + 20_000]), pa.array(level[a:a + 20_000].astype(np.int32)), pa.array(key[a:a + 20_000].astype(np.int64)), pa.array(at[a:a + 20_000].astype(np.int32)),
-                                                  pa.array(window[a:a + 20_000].view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=schema.names)
+        for whole in batches:
+            for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
+                key, at, words, window = _suffixes(batch, length)
+                prefixes = prefix_hashes(words).view(np.int64)
+                level = np.zeros(len(key), np.int32)
+                for k in range(length):
+                    level[(level == k) & np.isin(prefixes[:, k], too_full[k])] = k + 1
+                part = prefixes[np.arange(len(key)), np.minimum(level, length - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(level), pa.array(key.astype(np.int64)), pa.array(at.astype(np.int32)), _codes(words, window)], names=schema.names)
 
     suffixes = spans.mapInArrow(emit, schema_of(SUFFIX))
     solved = schema_of("key long, at int, window long")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["part"], 4 << 20):
-            words = np.frombuffer(b"".join(table.column("content").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+            data, offsets = buffers(table.column("content").combine_chunks())
+            words = np.frombuffer(data[offsets[0]:offsets[-1]].tobytes(), np.uint16).reshape(table.num_rows, -1)
             key = table.column("key").to_numpy()
             node = deep_nodes(words)
             below = np.flatnonzero(node >= 0)
             first = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, node[below], key[below])
             late = below[first[node[below]] < key[below]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[late]), pa.array(table.column("at").to_numpy()[late]), pa.array(table.column("window").to_numpy()[late])], names=solved.names)
-
-    trees = suffixes.filter(F.col("level") < length).repartition("part").sortWithinPartitions("part").mapInArrow(solve, solved)
-    crowded = cut_lineage(suffixes.filter(F.col("level") == length).select("key", "at", "window"))
-    first = crowded.groupBy("window").agg(F.min("key").alias("_first"))
-    late = cut_lineage(trees.unionByName(crowded.join(first, "window").filter(F.col("_first") < F.col("key")).select("key", "at", "window")))
+            window = np.ascontiguousarray(words[late, length:]).view(">i8").astype(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key[late]), pa.array(table.column("at").to_numpy()[late]), pa.array(window)], names=solved.names)
+
+    late = suffixes.filter(F.col("level") < length).repartition("part").sortWithinPartitions("part").mapInArrow(solve, solved)
+    if any(level == length for level, _ in full.value):
+        hash_of = F.conv(F.hex(F.substring("content", 2 * length + 1, 8)), 16, -10).cast("long")
+        crowded = cut_lineage(suffixes.filter(F.col("level") == length).select("key", "at", hash_of.alias("window")))
+        first = crowded.groupBy("window").agg(F.min("key").alias("_first"))
+        late = late.unionByName(crowded.join(first, "window").filter(F.col("_first") < F.col("key")).select("key", "at", "window"))
+    late = cut_lineage(late)
     release(spark)
     none = F.lit(None).cast("binary").alias("bits")
     whole = runs.join(classes.select("name", "span", F.col("rep.key").alias("_first")), ["name", "span"]).filter(F.col("_first") < F.col("key")).select("key", "first", "n", "span", none)
