@@ -54,7 +54,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 yield flush()
                 rows = []
         for slot in np.flatnonzero(table.reshape(-1, _ROW).any(axis=1)):
-            rows.append((None, None, None, None, int(slot), table[slot * _ROW:(slot + 1) * _ROW].tobytes()))
+            rows.append((None, None, None, None, int(slot), np.minimum(table[slot * _ROW:(slot + 1) * _ROW], (1 << 31) - 1).astype(np.int32).tobytes()))
         if rows:
             yield flush()
 
@@ -69,7 +69,7 @@ def _table(counted: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[slot] = held.get(slot, 0) + np.frombuffer(counts, np.int64)
+                held[slot] = held.get(slot, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=schema.names)
 
@@ -173,11 +173,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names=arrow.names)
 
-    first = base.select("key", "text").mapInArrow(prefixes, schema).join(nodes.select(F.col("node").alias("key"), "a", "b"), ["key", "a", "b"], "left_semi")
+    first = cut_lineage(base.select("key", "text").mapInArrow(prefixes, schema).join(nodes.select(F.col("node").alias("key"), "a", "b"), ["key", "a", "b"], "left_semi"))
+    release(spark)
     postings = first.select("key", "n", F.posexplode("grams").alias("i", "gram"))
-    lists = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("i", "key", "n")).alias("lead")).filter("size > 1")
-    shared = cut_lineage(postings.join(lists.select("gram", "lead"), "gram"))
+    lists = cut_lineage(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("gram"))
+    release(spark)
+    listed = cut_lineage(postings.join(lists, "gram"))
     release(spark)
+    leads = listed.groupBy("gram").agg(F.min(F.struct("i", "key", "n")).alias("lead"))
+    shared = listed.join(leads, "gram")
     led = shared.filter((F.col("key") != F.col("lead.key")) & _possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent))
     pairs = cut_lineage(led.select(F.least("key", "lead.key").alias("x"), F.greatest("key", "lead.key").alias("y")).distinct())
     text = base.select("key", "text")
@@ -185,7 +189,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     release(spark)
     grouped = cut_lineage(components(links))
 
-    placed = shared.drop("lead").join(grouped.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = listed.join(grouped.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).filter("_l < _h").select("gram")
     rest = cut_lineage(placed.join(mixed, "gram"))
     other = rest.select("gram", F.col("key").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
