@@ -4,7 +4,7 @@ A greedy rule ("keep adding rows to the group until the rule says stop") looks
 sequential.  But where a group that starts at row i ends depends on row i and
 what follows only, so every row has a fixed *next start*; the groups are the
 chain 1 -> next(1) -> next(next(1)) ...  Each block of rows finds its rows' next
-starts on its own (it also sees the first rows of the block after it).  A block
+starts on its own (it also sees the first rows of the blocks after it).  A block
 is entered only at the few rows the block before jumps to, so it sums up as a
 small entry -> exit table, and one key's chain runs over those tables alone.
 """
@@ -24,53 +24,32 @@ from .ordered import ordered_scan, row_number
 
 def greedy_groups(df: DataFrame, keys: list[str], order: list[str], block: Column,
                   rule_columns: list[str], group_end: Callable[..., int],
-                  block_rows: int = 8192, look_ahead: int = 1024) -> DataFrame:
+                  block_rows: int = 8192, look_ahead: int = 256) -> DataFrame:
     """Add ``group_start`` (position of the group's first row) and ``position``.
 
     ``group_end(i, n, *columns)`` gets the rule columns as numpy arrays and
     returns the index of the first row not in the group that starts at ``i``
     (``n`` if the group takes all rows given).  ``block`` cuts the order axis
     for the numbering, as in :func:`ordered_scan`.
-    """
-    payload = df.columns
-    numbered = ordered_scan(df, keys, order, block, position=row_number())
-    own = F.floor((F.col("position") - 1) / block_rows).cast("bigint")
-    shared = ((F.col("position") - 1) % block_rows < look_ahead) & (own > 0)
-    row = F.struct("position", *[c for c in payload if c not in keys])
-    blocks = (
-        numbered
-        .withColumn("_blk", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
-        .groupBy(*keys, "_blk")
-        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    )
-
-    @F.pandas_udf("array<bigint>")
-    def next_starts(blk: pd.Series, *columns: pd.Series) -> pd.Series:
-        out = []
-        for b, *cols in zip(blk, *columns):
-            cols = [np.asarray(c) for c in cols]
-            n = len(cols[0])
-            core = min(n, block_rows)
-            ends = np.empty(core, dtype=np.int64)
-            for i in range(core):
-                end = group_end(i, n, *cols)
-                if end >= n and n == block_rows + look_ahead:
-                    raise ValueError("a group is longer than look_ahead rows; raise look_ahead")
-                ends[i] = end
-            out.append(ends + b * block_rows + 1)
-        return pd.Series(out)
 
-    blocks = blocks.withColumn("_next", next_starts(
-        F.col("_blk"), *[F.col(f"_rows.{c}").alias(c) for c in rule_columns]))
-    blocks = cut_lineage(blocks)
+    Blocks hold positions and rule columns only; the rows themselves are joined back.
+    A block sees ``look_ahead`` rows of those after it.  Where a group reaches
+    beyond them, the blocks are built again with eight times as many, so the answer does
+    not depend on either number.
+    """
+    numbered = ordered_scan(df.drop("position", "group_start"), keys, order, block, position=row_number())
+    narrow = numbered.select(*keys, "position", *[c for c in rule_columns if c not in keys])
+    while True:
+        blocks = cut_lineage(_blocks(narrow, keys, rule_columns, group_end, block_rows, look_ahead))
+        unfinished = blocks.agg(F.max(F.exists("_next", lambda n: n < 0))).first()[0]
+        if not unfinished:
+            break
+        look_ahead *= 8
 
     first = F.struct(F.lit(1).cast("bigint").alias("entry"), F.lit(None).cast("bigint").alias("spill"))
-    if blocks.filter("_blk > 0").isEmpty():
-        entered = blocks.withColumn("_in", first)
-    else:
-        chained = _block_entries(blocks, keys, block_rows)
-        entered = (blocks.join(chained, [*keys, "_blk"], "left")
-                   .withColumn("_in", F.when(F.col("_blk") == 0, first).otherwise(F.col("_in"))))
+    chained = _block_entries(blocks, keys, block_rows)
+    entered = (blocks.join(chained, [*keys, "_blk"], "left")
+               .withColumn("_in", F.when(F.col("_blk") == 0, first).otherwise(F.col("_in"))))
 
     @F.pandas_udf("array<bigint>")
     def starts(blk: pd.Series, nexts: pd.Series, entry: pd.Series, spill: pd.Series) -> pd.Series:
@@ -91,11 +70,39 @@ def greedy_groups(df: DataFrame, keys: list[str], order: list[str], block: Colum
 
     marked = entered.withColumn(
         "_start", starts("_blk", "_next", F.col("_in.entry"), F.col("_in.spill")))
-    core = F.slice("_rows", F.lit(1), F.size("_next"))
-    exploded = marked.select(*keys, F.explode(F.arrays_zip(core.alias("r"), F.col("_start").alias("s"))).alias("z"))
-    return exploded.select(
-        *[F.col(c) if c in keys else F.col(f"z.r.{c}").alias(c) for c in payload],
-        F.col("z.r.position").alias("position"), F.col("z.s").alias("group_start"))
+    found = marked.select(*keys, (F.col("_blk") * block_rows + 1).alias("_base"), F.posexplode("_start").alias("_at", "group_start"))
+    starts_of = found.select(*keys, (F.col("_base") + F.col("_at")).alias("position"), "group_start")
+    return numbered.join(starts_of, [*keys, "position"]).select(*[c for c in numbered.columns if c != "position"], "position", "group_start")
+
+
+def _blocks(narrow: DataFrame, keys: list[str], rule_columns: list[str], group_end: Callable[..., int], block_rows: int, look_ahead: int) -> DataFrame:
+    """A row per (key, block): where the group of each of its rows would end, as the position of the next start.
+
+    -1 says that the block does not see far enough.
+    """
+    own = F.floor((F.col("position") - 1) / block_rows).cast("bigint")
+    back = F.floor((F.col("position") - 1 - look_ahead) / block_rows).cast("bigint")
+    rules = [c for c in rule_columns if c not in keys]
+    blocks = (
+        narrow.withColumn("_blk", F.explode(F.sequence(F.greatest(F.lit(0), back), own)))
+        .groupBy(*keys, "_blk")
+        .agg(F.array_sort(F.collect_list(F.struct("position", *rules))).alias("_rows"), F.count_if(own == F.col("_blk")).alias("_own"))
+        .filter("_own > 0")
+    )
+
+    @F.pandas_udf("array<bigint>")
+    def next_starts(blk: pd.Series, own: pd.Series, *columns: pd.Series) -> pd.Series:
+        out = []
+        for b, core, *cols in zip(blk, own, *columns):
+            cols = [np.asarray(c) for c in cols]
+            n = len(cols[0])
+            ends = np.array([group_end(i, n, *cols) for i in range(core)], dtype=np.int64)
+            # at the end of what a full block sees, the next row could still belong
+            unseen = (ends >= n) & (n == block_rows + look_ahead)
+            out.append(np.where(unseen, -1, ends + b * block_rows + 1))
+        return pd.Series(out)
+
+    return blocks.select(*keys, "_blk", next_starts(F.col("_blk"), F.col("_own"), *[F.col(f"_rows.{c}").alias(c) for c in rules]).alias("_next"))
 
 
 def _block_entries(blocks: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
@@ -144,6 +151,9 @@ def _block_entries(blocks: DataFrame, keys: list[str], block_rows: int) -> DataF
         while pos in table:
             end, last, b = table[pos]
             rows.append((b, pos, spill))
+            # blocks that the group covers whole, and the one it ends in if no row follows it
+            ended = (end - 1) // block_rows
+            rows.extend((k, end, last) for k in range(b + 1, ended + (end not in table)))
             pos, spill = end, last
         result = pd.DataFrame(rows, columns=["_blk", "entry", "spill"])
         result["spill"] = result["spill"].astype("Int64")
@@ -151,6 +161,6 @@ def _block_entries(blocks: DataFrame, keys: list[str], block_rows: int) -> DataF
             result.insert(offset, key, part[key].iloc[0])
         return result
 
-    hot = steps.filter("_blk > 0").select(*keys).distinct()
+    hot = blocks.filter("_blk > 0").select(*keys).distinct()
     return (steps.join(hot, keys, "left_semi").groupBy(*keys).applyInPandas(chain, schema)
             .select(*keys, "_blk", F.struct("entry", "spill").alias("_in")))

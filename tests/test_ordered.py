@@ -64,12 +64,27 @@ def test_greedy_groups_cross_blocks(spark):
         return j
 
     df = spark.createDataFrame(data, "media_id int, ord int, start double, end double").repartition(6)
-    grouped = greedy_groups(df, ["media_id"], ["start", "ord"], o.every("start", 10), ["start", "end"], group_end,
-                            block_rows=16, look_ahead=16)
-    got = grouped.groupBy("media_id", "group_start").agg(F.min("start").alias("s"), F.max("end").alias("e")).collect()
-    for key in want:
-        assert sorted((r.s, r.e) for r in got if r.media_id == key) == sorted(want[key])
-    assert grouped.count() == len(data)
+    for rows, ahead in ((16, 16), (16, 1), (4, 2), (1000, 8)):
+        grouped = greedy_groups(df, ["media_id"], ["start", "ord"], o.every("start", 10), ["start", "end"], group_end, block_rows=rows, look_ahead=ahead)
+        got = grouped.groupBy("media_id", "group_start").agg(F.min("start").alias("s"), F.max("end").alias("e")).collect()
+        for key in want:
+            assert sorted((r.s, r.e) for r in got if r.media_id == key) == sorted(want[key])
+        assert grouped.count() == len(data)
+
+
+def test_group_longer_than_blocks(spark):
+    data = [(1, i, 0.0, 0.25) for i in range(300)] + [(1, 300, 9.0, 9.5), (2, 0, 0.0, 1.0)]
+    df = spark.createDataFrame(data, "media_id int, ord int, start double, end double").withColumn("text", F.lit("x"))
+
+    def group_end(i, n, start, end):
+        j = i + 1
+        while j < n and start[j] - start[i] < 1:
+            j += 1
+        return j
+
+    for rows, ahead in ((8, 1), (8, 4), (64, 300), (8192, 256)):
+        got = greedy_groups(df, ["media_id"], ["start", "ord"], o.every("start", 10), ["start", "end"], group_end, block_rows=rows, look_ahead=ahead)
+        assert sorted((r.media_id, r.group_start, r.n) for r in got.groupBy("media_id", "group_start").agg(F.count("text").alias("n")).collect()) == [(1, 1, 300), (1, 301, 1), (2, 1, 1)]
 
 
 def test_merge_goldens(spark):
