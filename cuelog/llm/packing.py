@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ class WordEncoder:
     """
 
     _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ɏ]|<\\|")
-    _MOST = 400_000  # words held at once
+    _MOST = 1_000_000  # words held at once, about 250 MB
+    _PLAIN = bytes([9, 10, 13, *range(32, 127)])
 
     def __init__(self, path: str):
         import json
@@ -71,15 +73,24 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self._UNUSUAL.search(text):
+        if self._is_unusual(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
-        known = self.known
-        missing = {w for w in words if w not in known}
+        missing = set(words).difference(self.known)
         if missing:
-            self._learn(missing | set(words) if len(known) + len(missing) > self._MOST else missing)
-            known = self.known
-        return b"".join([known[w] for w in words])
+            self._learn(set(words) if len(self.known) + len(missing) > self._MOST else missing)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _is_unusual(self, text: str) -> bool:
+        if text.isascii():
+            return "<|" in text or bool(text.encode().translate(None, self._PLAIN))
+        return self._UNUSUAL.search(text) is not None
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so its words serve all its tasks."""
+    return WordEncoder(path)
 
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -97,7 +108,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: int
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             rows, out = [], []
             for row, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
