@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Rolling, append_columns, cut_lineage, schema_of, slide_min, texts
+from .common import Rolling, append_columns, schema_of, slide_min, texts
 
 #: A run: its name, a hash of its whole span, first window, number of windows, and whether
 #: the naming gram is at several places in it (only then can it have equal windows itself).

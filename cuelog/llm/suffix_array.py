@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -238,8 +237,3 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, group: in
 
     joined = zipped(base).join(marks, "key", "left")
     return append_columns(joined, make, "n_bytes long, n_removed long, n_spans long, kept binary").drop("key", "z", "marks")
-
-
-def digest(kept: bytes) -> str:
-    """Lowercase hex SHA-256."""
-    return hashlib.sha256(kept).hexdigest()
