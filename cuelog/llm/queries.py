@@ -16,6 +16,7 @@ from . import quality as _quality
 from . import secrets as _secrets
 from . import suffix_array as _suffix_array
 from . import suffix_trees as _suffix_trees
+from . import twins as _twins
 from . import url_rules as _url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@_query()
+@_query(_twins.LEAKS)
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside ten-word windows of test items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,7 +82,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_rules.url_filter(pages, shown.join(labels, "doc_id").select("url", "bad"))
 
 
-@_query()
+@_query(_twins.secrets_sql())
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, as counts, digest and spans."""
     found = _secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -114,7 +115,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@_query()
+@_query(_twins.PASSAGES)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 13-word passages of earlier ones."""
     left = _suffix_trees.remove_repeats(_table(spark, sf_dir, "documents"))
