@@ -39,7 +39,7 @@ class WordEncoder:
     """
 
     _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ɏ]|<\\|")
-    _MOST = 1_000_000  # words held at once, about 250 MB
+    _MOST = 400_000  # words held at once, about 100 MB
     _PLAIN = bytes([9, 10, 13, *range(32, 127)])
 
     def __init__(self, path: str):
