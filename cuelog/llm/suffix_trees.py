@@ -53,21 +53,22 @@ def deep_nodes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-SPAN = "name long, span long, key long, first int, content binary"
-SUFFIX = "part long, level int, key long, at int, content binary"
+#: Instead of the first window of a mark: the window goes wherever its document has it.
+_ANYWHERE = -1
+SPAN = "key long, content binary"
+SUFFIX = "part long, level int, key long, content binary"
 
 
-def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place, words, window hash) of every window of the spans in a batch."""
+def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, words, window hash) of every window of the spans in a batch."""
     data, offsets = buffers(batch.column(batch.schema.get_field_index("content")))
     symbols = np.frombuffer(data[offsets[0]:offsets[-1]].tobytes(), np.uint64)
     begin = (offsets[:-1] - offsets[0]) // 8
     n = (offsets[1:] - offsets[:-1]) // 8 - length + 1
     within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     start = np.repeat(begin, n) + within
-    column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-    return (np.repeat(column("key"), n), np.repeat(column("first"), n) + within,
-            np.lib.stride_tricks.sliding_window_view(symbols, length)[start], Rolling(symbols).of(start, start + length))
+    key = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
+    return (np.repeat(key, n), np.lib.stride_tricks.sliding_window_view(symbols, length)[start], Rolling(symbols).of(start, start + length))
 
 
 def _codes(words: np.ndarray, window: np.ndarray) -> pa.Array:
@@ -89,7 +90,7 @@ def full_prefixes(spans: DataFrame, length: int, most: int, unseen: int = 64) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prefixes = prefix_hashes(_suffixes(batch, length)[2])
+            prefixes = prefix_hashes(_suffixes(batch, length)[1])
             for level in range(length):
                 values, which, counts = np.unique(prefixes[:, level], return_inverse=True, return_counts=True)
                 many = counts > unseen
@@ -101,6 +102,17 @@ def full_prefixes(spans: DataFrame, length: int, most: int, unseen: int = 64) ->
     return spans.mapInArrow(run, schema).groupBy("level", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
 
 
+def inside_windows(rolling: Rolling, size: int, windows: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``size`` words are in a window of ``length`` words whose hash is in ``windows``, at every place that has one."""
+    change = np.zeros(size + 1, np.int32)
+    if len(windows) and size >= length:
+        start = np.arange(size - length + 1)
+        at = start[np.isin(rolling.of(start, start + length).view(np.int64), windows)]
+        change[at] += 1
+        change[at + length] -= 1
+    return np.cumsum(change)[:-1] > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int = 20_000, groups: int = 100_000) -> DataFrame:
     """What stays of every text when passages of earlier documents go.
 
@@ -118,7 +130,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int
        where there are over ``groups`` times as many suffixes: the list of prefixes that are too
        full goes to all workers and is bounded by ``length * groups`` entries).
     4. Every part's suffix tree gives the windows that repeat, its deep internal nodes, and
-       their first documents.  Suffixes that share all ``length`` words with too many are one repeat already;
+       their first documents.  Such a window goes at every place of the later document, also where
+       the document has the same run again, of which only the first was sent.  Suffixes that share all ``length`` words with too many are one repeat already;
        their first document is a minimum with map-side combine.
     """
     spark = docs.sparkSession
@@ -133,7 +146,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int
         symbols = word_symbols(text)
         for k in right_place(Rolling(symbols), len(symbols), found, length):
             first = int(found["first"][k])
-            yield int(found["name"][k]), int(found["span"][k]), key, first, symbols[first:first + int(found["n"][k]) + length - 1].tobytes()
+            yield key, symbols[first:first + int(found["n"][k]) + length - 1].tobytes()
 
     spans = cut_lineage(contents(multi, base, cut, SPAN))
     release(spark)
@@ -146,16 +159,16 @@ def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int
         too_full = [np.array(sorted(p for level, p in full.value if level == k + 1), np.int64) for k in range(length)]
         for whole in batches:
             for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
-                key, at, words, window = _suffixes(batch, length)
+                key, words, window = _suffixes(batch, length)
                 prefixes = prefix_hashes(words).view(np.int64)
                 level = np.zeros(len(key), np.int32)
                 for k in range(length):
                     level[(level == k) & np.isin(prefixes[:, k], too_full[k])] = k + 1
                 part = prefixes[np.arange(len(key)), np.minimum(level, length - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(level), pa.array(key.astype(np.int64)), pa.array(at.astype(np.int32)), _codes(words, window)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(level), pa.array(key.astype(np.int64)), _codes(words, window)], names=schema.names)
 
     suffixes = spans.mapInArrow(emit, schema_of(SUFFIX))
-    solved = schema_of("key long, at int, window long")
+    solved = schema_of("key long, window long")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["part"], 4 << 20):
@@ -168,19 +181,19 @@ def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int
             np.minimum.at(first, node[below], key[below])
             late = below[first[node[below]] < key[below]]
             window = np.ascontiguousarray(words[late, length:]).view(">i8").astype(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(key[late]), pa.array(table.column("at").to_numpy()[late]), pa.array(window)], names=solved.names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[late]), pa.array(window)], names=solved.names)
 
     late = suffixes.filter(F.col("level") < length).repartition("part").sortWithinPartitions("part").mapInArrow(solve, solved)
     if any(level == length for level, _ in full.value):
         hash_of = F.conv(F.hex(F.substring("content", 2 * length + 1, 8)), 16, -10).cast("long")
-        crowded = cut_lineage(suffixes.filter(F.col("level") == length).select("key", "at", hash_of.alias("window")))
+        crowded = cut_lineage(suffixes.filter(F.col("level") == length).select("key", hash_of.alias("window")))
         first = crowded.groupBy("window").agg(F.min("key").alias("_first"))
-        late = late.unionByName(crowded.join(first, "window").filter(F.col("_first") < F.col("key")).select("key", "at", "window"))
+        late = late.unionByName(crowded.join(first, "window").filter(F.col("_first") < F.col("key")).select("key", "window"))
     late = cut_lineage(late)
     release(spark)
     none = F.lit(None).cast("binary").alias("bits")
     whole = runs.join(classes.select("name", "span", F.col("rep.key").alias("_first")), ["name", "span"]).filter(F.col("_first") < F.col("key")).select("key", "first", "n", "span", none)
-    marks = marks_by_document(whole.unionByName(late.select("key", F.col("at").alias("first"), F.lit(1).alias("n"), F.col("window").alias("span"), none)))
+    marks = marks_by_document(whole.unionByName(late.select("key", F.lit(_ANYWHERE).alias("first"), F.lit(1).alias("n"), F.col("window").alias("span"), none)))
 
     def make():
         def work(batch):
@@ -190,7 +203,10 @@ def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, group: int
                 text, found = unzip(z), lists.row(k)
                 words = text.tobytes().split()
                 if len(found["first"]):
-                    gone = covered(len(words), found, right_place(Rolling(word_symbols(text)), len(words), found, length), length)
+                    rolling, anywhere = Rolling(word_symbols(text)), found["first"] == _ANYWHERE
+                    runs = {name: list(itertools.compress(values, ~anywhere)) if name == "bits" else values[~anywhere] for name, values in found.items()}
+                    gone = covered(len(words), runs, right_place(rolling, len(words), runs, length), length)
+                    gone |= inside_windows(rolling, len(words), found["span"][anywhere], length)
                     kept = list(itertools.compress(words, (~gone).tolist()))
                 else:
                     kept = words

@@ -57,5 +57,16 @@ def test_matches_a_plain_search(spark, group, monkeypatch):
     assert sum(g[2] for g in got) > 300
 
 
+def test_same_run_twice_in_one_document(spark):
+    words = lambda mark, k=20: " ".join(f"{mark}{i}" for i in range(k))
+    passage, tail = words("p", 13), words("e", 13)
+    again = f"{words('a')} {passage} {words('b')}"
+    rows = [(3, f"{words('x')} {passage} {words('y')}"), (5, f"{words('s')} {again} {again}"), (6, f"{words('t')} {tail} {words('u')}"), (7, f"{words('v')} {tail} {words('w')}"),
+            (7, f"q {words('v')} {tail} {words('w')}"), (None, f"{again} {again} {words('v')} {tail}")]
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 13), key=str)
+    assert [g[2] for g in got if g[0] == 5] == [26]
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
