@@ -22,12 +22,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles, the one with the smallest id.
+    """Of documents that share 80 in 100 of their five-word shingles, or are linked by such, the one with the smallest id.
 
     Rows with one id are one document, and one row of it stays.  Rows without an id
     cannot be named as another's copy and all stay.
     """
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)

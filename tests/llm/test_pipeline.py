@@ -66,3 +66,32 @@ def test_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert re.search("packing", corpus_pipeline.STAGES[-1][0])
+
+
+def _heads(rows, words, percent):
+    """The smallest id of every group that links of similar shingles make."""
+    split = [(i, t.split()) for i, t in rows]
+    sets = {i: {tuple(w[k:k + words]) for k in range(len(w) - words + 1)} for i, w in split}
+    group = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    return {i for i, head in group.items() if i == head}
+
+
+def test_near_copies_at_the_limit_of_stages(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(8):
+        words = [f"t{i}w{k}" for k in range(100)]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 5):
+            copy = list(words)
+            for at in rng.choice(np.arange(6, 94, 6), j, replace=False):
+                copy[at] = f"new{j}"
+            rows.append((10 * i + j, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+    assert got == sorted(_heads(rows, 5, 80)) != sorted(_heads(rows, 4, 85))
