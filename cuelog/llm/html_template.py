@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import append_columns, cut_lineage, schema_of
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(script|style|noscript|template|textarea|title|iframe|svg|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|[^<]+|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 #: Tags that do not end a block of text.
@@ -30,6 +30,8 @@ _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dia
 _OTHER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
                          "footer sidebar widget related recommended share sharing social cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription signup login "
                          "comment comments commentlist reply replies respond disqus discussion pagination pager toolbar search skip masthead".split())
+#: Names of articles beside or inside the page's own.
+_OTHER_ARTICLES = _OTHER_NAMES | frozenset("teaser teasers card cards".split())
 _NOT_OTHER = frozenset("has with no without content main article layout wrapper container".split())
 
 
@@ -68,18 +70,26 @@ def _is_other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element holds something else than the article."""
     if tag in _OTHER_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "main", "article"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     style = attributes.get("style", "").replace(" ", "").lower()
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or attributes.get("role", "").lower() in _OTHER_ROLES:
         return True
+    if tag == "article":  # tag-... and category-... name what it is about
+        names = _names(attributes | {"class": re.sub(r"(?<!\S)(?:tag|category)-\S+", "", attributes.get("class", ""))})
+        return bool(names & _OTHER_ARTICLES) and not names & (_NOT_OTHER - {"article"})
     names = _names(attributes)
     return bool(names & _OTHER_NAMES) and not names & _NOT_OTHER or ("header" in names and not in_article and not names & _NOT_OTHER)
 
 
-def read_page(source: str | None) -> Page:
-    """The blocks of a page's text outside menus, notices and the like, and its tags by path."""
+def read_page(source: str | None, trusted: bool = False) -> Page:
+    """The blocks of a page's text outside menus, notices and the like, and its tags by path.
+
+    An ``article`` named as a comment, a teaser and so on is not the page's own, unless the
+    page has no other (or they are ``trusted``).
+    """
     page = Page()
+    doubted = False
     stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, path, other, article, main
     text: list[str] = []
     linked = links = 0
@@ -129,9 +139,14 @@ def read_page(source: str | None) -> Page:
         page.tags[path] += 1
         page.depth[path] = len(stack)
         if tag not in _VOID and not (m[4] or "").endswith("/"):
+            outermost = tag == "article" and not article
             article = article or tag == "article" or "articlebody" in attributes.get("class", "").lower()
-            stack.append((tag, path, other or _is_other(tag, attributes, article), article, main or tag == "main" or attributes.get("role", "").lower() == "main"))
+            aside = _is_other(tag, attributes, article)
+            doubted = doubted or (outermost and aside and not other)
+            stack.append((tag, path, other or (aside and not (trusted and outermost)), article, main or tag == "main" or attributes.get("role", "").lower() == "main"))
     end_block()
+    if doubted and not trusted and not any(b.article for b in page.blocks):
+        return read_page(source, True)
     return page
 
 

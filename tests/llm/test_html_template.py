@@ -24,6 +24,22 @@ def test_parts_that_are_not_the_article():
     assert [b.text for b in read_page(source).blocks] == ["T", "one", "two", "three"]
 
 
+def test_self_closed_icons():
+    blocks = lambda source: [b.text for b in read_page(source).blocks]
+    assert blocks("<header><button><svg class='i' viewBox=\"0 > 1\"/></button></header><article><p>one <math/>two</p><p>a<svg ><path/><text>no</text></svg>b</p><SVG/><p>three</p></article>") == ["one two", "ab", "three"]
+    assert blocks("<p>a<svg><path d='x'/></svg>b<svgx/>c</p>") == ["ab", "c"]
+
+
+def test_articles_beside_and_inside_the_own_one():
+    blocks = lambda source: [b.text for b in read_page(source).blocks]
+    own = "<article class='post'><p>one</p><article class=comment><p>C</p></article><p>two</p></article>"
+    assert blocks(f"{own}<article class='comment'>D</article><article class='teaser card'>E</article><article role=complementary>F</article>") == ["one", "two"]
+    assert blocks("<article class='article comment'>D</article><article class='article'>own</article>") == ["own"]
+    assert blocks("<article class='card'><h1>T</h1><p>one</p><article class='card'>E</article></article>") == ["T", "one"]
+    assert blocks("<article class='post tag-promo category-ads'>one</article><article class='item'>two</article>") == ["one", "two"]
+    assert blocks("<article class='post'>one</article><article>two</article>") == ["one", "two"]
+
+
 def test_templates(spark):
     pages = [_page(k, f"<p>body {k} of the page {'word ' * (20 + k)}</p><p>more {k}</p>") for k in range(8)]
     pages += [(20, "http://b.example/1", "<p>only <a href=x>one</a> page here</p><p><a href=y>all link</a></p>"), (21, None, "<article>x</article>"), (22, "http://a.example/q", None), (None, "http://a.example/0", pages[0][2])]
