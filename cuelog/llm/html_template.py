@@ -210,9 +210,12 @@ def deduce_templates(pages: DataFrame, least_pages: int = 4, share: float = 0.6)
 
 
 def article(page: Page, root: int | None, said: frozenset[int]) -> list[str]:
-    """The article's blocks, in page order."""
+    """The article's blocks, in page order; inside an ``article`` element nothing is taken for the template's."""
+    own = [b.text for b in page.blocks if b.article]
+    if own:
+        return own
     free = [b for b in page.blocks if _hash(b.path, b.text) not in said]
-    for inside in (lambda b: b.article, lambda b: b.main, lambda b: root in b.above):
+    for inside in (lambda b: b.main, lambda b: root in b.above):
         slot = [b.text for b in free if inside(b)]
         if slot:
             return slot
@@ -223,7 +226,7 @@ def extract_text(pages: DataFrame, **deduction) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row of ``pages`` (``page_id``, ``url``, ``html``).
 
     The text of the article alone: what stands in the template's slot for it, without
-    what the template says on its own, and without menus, headers, footers, sidebars,
+    what the template says on its own outside an ``article`` element, and without menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles and comments.  The slot is the ``article`` element,
     else ``main``, else the root of the host's template, else the page without link lists.
     Character references are decoded, white space inside a block becomes one space, blocks are

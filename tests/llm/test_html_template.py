@@ -54,6 +54,13 @@ def test_templates(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_same_passage_in_every_article_of_a_host(spark):
+    body = lambda k: f"<article><h1>Report</h1><p>body {k} of the page {'word ' * (20 + k)}</p><p>Licensed to all</p></article>"
+    df = spark.createDataFrame([_page(k, body(k)) for k in range(8)], "page_id long, url string, html string")
+    for r in extract_text(df).collect():
+        assert r.text.split("\n\n") == ["Report", f"body {r.page_id} of the page {'word ' * (20 + r.page_id)}".strip(), "Licensed to all"]
+
+
 def test_whole_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     import html
