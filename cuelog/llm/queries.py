@@ -11,6 +11,7 @@ from . import decontaminate as _decontaminate
 from . import html_template as _html_template
 from . import jaccard as _jaccard
 from . import language as _language
+from . import merkle as _merkle
 from . import packing as _packing
 from . import quality as _quality
 from . import secrets as _secrets
@@ -132,3 +133,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return _html_template.extract_text(_table(spark, sf_dir, "pages"))
+
+
+@_query(_twins.manifest_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that a tampered text folds to."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    touched = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = F.when(touched, _merkle.leaf_of(*fields, F.translate("text", "\n", "")))
+    made = _merkle.manifest(docs, _merkle.leaf_of(*fields, F.col("text")), tampered=tampered)
+    proved = made.select("doc_id", "leaf", "subroot", "root", F.sha2(_merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                         _merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -56,3 +56,35 @@ c AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i
 t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM o) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit; 3988292384 is the reversed polynomial."""
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def manifest_sql() -> str:
+    """Levels of both kinds of trees by recursion, then every leaf's way up through them."""
+    climb = """SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3 FROM {t} WHERE n > 1 GROUP BY tree, level, pos // 3"""
+    step = """SELECT f.rid, f.tree, f.level + 1, f.pos // 3, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.node ELSE t.digest END, '' ORDER BY t.pos)),
+              f.proof || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
+              FROM {f} f JOIN {t} t ON t.tree = f.tree AND t.level = f.level AND t.pos // 3 = f.pos // 3 WHERE t.n > 1 GROUP BY f.rid, f.tree, f.level, f.pos, f.proof"""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS tree, {_leaf('text')} AS leaf,
+           CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, tampered NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+t(tree, level, pos, digest, n) AS (SELECT tree, 0, pos, leaf, n FROM p UNION ALL {climb.format(t='t')}),
+s AS (SELECT tree AS name, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(tree, level, pos, digest, n) AS (SELECT '', 0, pos, subroot, n FROM s UNION ALL {climb.format(t='u')}),
+f(rid, tree, level, pos, node, proof) AS (SELECT rid, tree, 0, pos, coalesce(tampered, leaf), '' FROM p UNION ALL {step.format(f='f', t='t')}),
+g AS (SELECT rid, max_by(tree, level) AS tree, max_by(node, level) AS node, max_by(proof, level) AS proof FROM f GROUP BY rid),
+h(rid, tree, level, pos, node, proof) AS (SELECT g.rid, '', 0, s.pos, g.node, g.proof FROM g JOIN s ON s.name = g.tree UNION ALL {step.format(f='h', t='u')}),
+e AS (SELECT rid, max_by(node, level) AS folded_root, max_by(proof, level) AS proof FROM h GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM d JOIN s ON s.name = d.tree JOIN e USING (rid)"""

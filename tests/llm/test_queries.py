@@ -24,7 +24,7 @@ def _sha(data: bytes) -> str:
 
 
 def test_names():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 1 + len(QUERIES))) and set(SQL) <= set(QUERIES)
 
 
 def test_sql_twins(spark):
