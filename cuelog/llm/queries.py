@@ -17,6 +17,7 @@ from . import quality as _quality
 from . import secrets as _secrets
 from . import suffix_array as _suffix_array
 from . import suffix_trees as _suffix_trees
+from . import token_counts as _token_counts
 from . import twins as _twins
 from . import url_rules as _url_rules
 
@@ -146,3 +147,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     proved = made.select("doc_id", "leaf", "subroot", "root", F.sha2(_merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
                          _merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    import public_tokenizers
+    return _token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
