@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import conversations as _conversations
 from . import decontaminate as _decontaminate
 from . import html_template as _html_template
 from . import jaccard as _jaccard
@@ -154,3 +155,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     import public_tokenizers
     return _token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    rows = _table(spark, sf_dir, "conversations")
+    return _conversations.repaired(_conversations.damage(rows), rows)
