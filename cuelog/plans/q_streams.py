@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as ev
 from ..streaming import live as lv
 from ..streaming import machines as mc
+from ..streaming import storms as sm
 from . import views as v
 from .q_events import _upto
 from .registry import register
@@ -93,14 +94,49 @@ def _(spark, sf):
     return lv.voice_status(rows)
 
 
-@register("detect_storms")
-def _(spark, sf):
-    stream = _event_stream(spark, sf)
+#: One row an answer or request and service, told by the one before: what is known, then what is said of the row.
+STORM_CALLS = """SELECT CAST(service AS VARCHAR) AS service, epoch_us(ts) / 1e6 AS t, seq, kind, row_number() OVER (PARTITION BY service ORDER BY ts, seq) AS p FROM v_req"""
+
+STORM_STATES = """SELECT service, 0::BIGINT AS p, NULL::DOUBLE AS t, NULL::BIGINT AS seq, []::DOUBLE[] AS fails, false AS act, 0 AS outages, 0e0 AS until, 0e0 AS began, 0 AS rounds, 0 AS held,
+            0 AS streak, 0e0 AS since, false AS asked, NULL::VARCHAR AS event, NULL::VARCHAR AS claim, NULL::DOUBLE AS pause_sec, NULL::DOUBLE AS duration_sec, NULL::INT AS suppressed, NULL::INT AS told
+        FROM (SELECT DISTINCT service FROM c)
+        UNION ALL
+        SELECT service, p, t, seq, CASE WHEN fin THEN [] ELSE fails END, (act OR starts) AND NOT fin, outages + starts::INT,
+            CASE WHEN starts THEN t + least(60, 30 + outages * 15) WHEN extends THEN t + least(60, 30 + rounds * 15) ELSE until END,
+            CASE WHEN starts THEN t ELSE began END, CASE WHEN starts THEN 1 WHEN fin THEN 0 ELSE rounds + extends::INT END, CASE WHEN starts OR fin THEN 0 WHEN act AND kind = 'failure' THEN held + 1 ELSE held END,
+            CASE WHEN good AND NOT fin THEN streak + 1 WHEN fin OR starts OR kind = 'failure' THEN 0 ELSE streak END, CASE WHEN good AND streak = 0 THEN t ELSE since END,
+            CASE WHEN kind = 'request' THEN asked OR (act AND t >= until) ELSE false END,
+            CASE WHEN starts THEN 'started' WHEN extends THEN 'extended' WHEN fin THEN 'finished' WHEN kind = 'request' THEN 'request' END,
+            CASE WHEN kind = 'request' THEN CASE WHEN NOT act THEN 'normal' WHEN t < until OR asked THEN 'bypass' ELSE 'probe' END END,
+            CASE WHEN starts THEN least(60, 30 + outages * 15) WHEN extends THEN least(60, 30 + rounds * 15) END,
+            CASE WHEN fin THEN round(t - began, 3) END, CASE WHEN fin THEN held END, CASE WHEN starts THEN 1 WHEN extends THEN rounds + 1 WHEN fin THEN rounds END
+        FROM (SELECT *, NOT act AND kind = 'failure' AND len(fails) >= 6 AS starts, act AND kind = 'failure' AND t >= until AS extends,
+                act AND kind = 'success' AND t >= until AS good, act AND kind = 'success' AND t >= until AND streak + 1 >= 3 AND t - CASE WHEN streak = 0 THEN t ELSE since END >= 10 AS fin
+            FROM (SELECT s.* EXCLUDE (p, t, seq, fails, event, claim, pause_sec, duration_sec, suppressed, told), c.p, c.t, c.seq, c.kind,
+                    list_filter(CASE WHEN c.kind = 'failure' THEN list_append(s.fails, c.t) ELSE s.fails END, lambda f: c.kind = 'request' OR f >= c.t - 21600) AS fails
+                FROM s JOIN c ON c.service = s.service AND c.p = s.p + 1))"""
+
+STORMS = with_views("""
+    SELECT service, seq, event, claim, pause_sec, duration_sec, suppressed, told AS rounds FROM s WHERE event IS NOT NULL""", "v_req", c=STORM_CALLS, s=STORM_STATES)
+
+
+def _calls(rows):
     kind = F.expr("CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'request' END")
-    calls = stream.select((F.col("user_id") % 5).alias("service"), F.expr("unix_micros(cast(ts AS timestamp)) / 1e6").alias("ts"),
-                          F.col("event_id").alias("seq"), kind.alias("kind"))
-    out = lv.drain(mc.detect_storms(calls, window_sec=21600, recovery_min=10))
-    return out.select("service", "seq", "event", "claim", "pause_sec", "duration_sec", "suppressed", "rounds")
+    return rows.select((F.col("user_id") % 5).alias("service"), F.expr("unix_micros(cast(ts AS timestamp)) / 1e6").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+STORM_COLUMNS = ("service", "seq", "event", "claim", "pause_sec", "duration_sec", "suppressed", "rounds")
+
+
+@register("detect_storms", STORMS)
+def _(spark, sf):
+    out = lv.drain(mc.detect_storms(_calls(_event_stream(spark, sf)), window_sec=21600, recovery_min=10))
+    return out.select(*STORM_COLUMNS)
+
+
+@register("detect_storms_batch", STORMS)
+def _(spark, sf):
+    return sm.detect_storms_batch(_calls(v.table(spark, sf, "events")), window_sec=21600, recovery_min=10).select(*STORM_COLUMNS)
 
 
 @register("sample_repeats_stream", _upto("stored", "SELECT CAST(session_id AS VARCHAR) AS session_id, sequence, signature, occurrence, stored FROM stored"))

@@ -73,7 +73,7 @@ def outage_timeline(memory: Outage, times: np.ndarray, failed: np.ndarray, rules
         if np.isnan(memory.until):
             fails = at + np.flatnonzero(failed[at:])
             seen = np.concatenate([np.array(memory.tail, float), times[fails]])
-            dense = np.flatnonzero(seen[lag:] - seen[:len(seen) - lag] <= rules.window_sec) + lag - len(memory.tail)
+            dense = np.flatnonzero(seen[lag:] - seen[:max(0, len(seen) - lag)] <= rules.window_sec) + lag - len(memory.tail)
             dense = dense[dense >= 0]
             if not len(dense):
                 memory.tail = seen[len(seen) - lag:].tolist() if 0 < lag <= len(seen) else (seen.tolist() if lag else [])
@@ -141,6 +141,19 @@ STORM_STATE = ("tail array<double>, outages int, until double, began double, rou
 STORM_OUT = "service string, ts double, seq bigint, event string, claim string, pause_sec double, duration_sec double, suppressed int, rounds int"
 
 
+def storm_rows(service: str | None, rows: pd.DataFrame, answers: pd.DataFrame, reports: list, pauses: list, start: float, asked: bool) -> tuple[pd.DataFrame, bool]:
+    """Reports and claims as rows, in the order of ``rows``; and whether a probe is under way after them."""
+    asks = (rows["kind"] == "request").to_numpy()
+    requests, before = rows[asks], np.cumsum(~asks)[asks]
+    claims, probed = request_claims(before, requests["ts"].to_numpy(float), start, asked, pauses)
+    told = answers.iloc[[k for k, _ in reports]][["ts", "seq"]].reset_index(drop=True).join(pd.DataFrame([r for _, r in reports]))
+    said = requests[["ts", "seq"]].assign(event="request", claim=claims)
+    out = pd.concat([told, said]).assign(service=service).reindex(columns=[c.split()[0] for c in STORM_OUT.split(", ")])
+    # Texts as plain objects: pandas may hold joined text columns in several pieces.
+    out = out.sort_values(["ts", "seq"]).astype({"service": object, "event": object, "claim": object, "suppressed": "Int32", "rounds": "Int32", "pause_sec": float, "duration_sec": float})
+    return out, len(answers) in probed or (asked and not len(answers))
+
+
 def detect_storms(calls: DataFrame, settings: dict[str, dict] | None = None, **defaults) -> DataFrame:
     """Outages per service: started, extended, finished; a claim for each request row.
 
@@ -156,18 +169,12 @@ def detect_storms(calls: DataFrame, settings: dict[str, dict] | None = None, **d
         memory = Outage(**dict(zip(names, group.get))) if group.exists else Outage([])
         memory.tail = list(memory.tail)
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        asks = (rows["kind"] == "request").to_numpy()
-        answers, requests = rows[~asks], rows[asks]
-        start, asked = memory.until, memory.asked
+        answers = rows[rows["kind"] != "request"]
+        start = memory.until
         reports, pauses = outage_timeline(memory, answers["ts"].to_numpy(float), (answers["kind"] == "failure").to_numpy(), rules.get(key[0], common))
-        before = np.cumsum(~asks)[asks]
-        claims, probed = request_claims(before, requests["ts"].to_numpy(float), start, asked, pauses)
-        memory.asked = len(answers) in probed or (asked and not len(answers))
+        out, memory.asked = storm_rows(key[0], rows, answers, reports, pauses, start, memory.asked)
         group.update(tuple(getattr(memory, n) for n in names))
-        told = answers.iloc[[k for k, _ in reports]][["ts", "seq"]].reset_index(drop=True).join(pd.DataFrame([r for _, r in reports]))
-        said = requests[["ts", "seq"]].assign(event="request", claim=claims)
-        out = pd.concat([told, said]).assign(service=key[0]).reindex(columns=[c.split()[0] for c in STORM_OUT.split(", ")])
-        yield out.sort_values(["ts", "seq"]).astype({"suppressed": "Int32", "rounds": "Int32", "pause_sec": float, "duration_sec": float})
+        yield out
 
     narrow = calls.select(F.col("service").cast("string").alias("service"), "ts", "seq", "kind").filter("ts IS NOT NULL AND kind IN ('failure', 'success', 'request')")
     return narrow.groupBy("service").applyInPandasWithState(run, STORM_OUT, STORM_STATE, "append", "NoTimeout")
