@@ -5,7 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import _col, let
+
+
+def round_exact(value, digits: int) -> Column:
+    """A double to ``digits`` decimals as its exact binary value asks for, half to even: what Python's ``round`` gives.
+
+    ``bround`` rounds the shortest decimal text instead, which may be a tie where the value is none:
+    3.755 / 8 prints as 0.469375 and is a little less.  The product with 10 ** (digits + 1) and its rounding
+    error (Dekker's two-part product) tell on which side of the tie the value lies.
+    """
+    scale, split = 10.0 ** (digits + 1), 134217729.0
+    high = scale * split - (scale * split - scale)
+    low = scale - high
+
+    def near(v: Column) -> Column:
+        x, product, top = v["x"], v["product"], v["top"]
+        bottom = x - top
+        error = ((top * high - product) + top * low + bottom * high) + bottom * low
+        whole = F.rint(product)
+        return let(lambda w: F.when(
+            (F.abs(w["whole"] % 10) == 5) & (F.abs(product - w["whole"]) < 0.25) & (F.abs(product) < float(1 << 52)),
+            F.rint(F.when(w["side"] > 0, w["whole"] + 1).when(w["side"] < 0, w["whole"] - 1).otherwise(w["whole"]) / 10) / 10.0 ** digits,
+        ).otherwise(F.bround(x, digits)), whole=whole, side=(product - whole) + error)
+
+    return let(near, x=_col(value), product=_col(value) * scale, top=_col(value) * split - (_col(value) * split - _col(value)))
 
 
 def finite(value) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as o
 from ..functions.greedy import greedy_groups
+from ..functions.numbers import round_exact
 from ..functions.text import language_base, looks_like_script, lstrip, rstrip, script_chars, strip, word_normalize
 
 KEY = ["media_id"]
@@ -100,7 +101,7 @@ def asr_quality(segments: DataFrame, warn_run: int = 3, warn_ratio: float = 0.25
     }
     runs = _mark_runs(segments).groupBy("media_id", "run_id").agg(
         *[F.count_if(test).alias(name) for name, test in counts.items()])
-    ratio = F.bround(F.sum("_suspicious") / F.sum("segments"), 4)
+    ratio = round_exact(F.sum("_suspicious") / F.sum("segments"), 4)
     return runs.groupBy("media_id").agg(
         *[F.sum(name).alias(name) for name in counts if not name.startswith("_")],
         F.max("_run").alias("longest_repeat_run"), ratio.alias("suspicious_ratio"),

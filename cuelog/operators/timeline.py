@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as o
 from ..functions.greedy import greedy_groups
-from ..functions.numbers import edge_rate, finite
+from ..functions.numbers import edge_rate, finite, round_exact
 from ..session import cut_lineage
 from .segments import HOUR, KEY, ORDER, speech_boundaries
 
@@ -157,16 +157,17 @@ def pause_summary(raw: DataFrame, merged: DataFrame, media: DataFrame, severe_se
     """Pause counts and totals per media; ``raw`` and ``merged`` are sanitized plans."""
     before = raw.groupBy("media_id").agg(F.count(F.lit(1)).alias("before"))
     after = merged.groupBy("media_id").agg(
-        F.count(F.lit(1)).alias("pause_count"), F.sum("duration").alias("_total"), F.max("duration").alias("_max"),
+        # added up as decimals, so the order of the rows cannot show in a last digit
+        F.count(F.lit(1)).alias("pause_count"), F.sum(F.col("duration").cast("decimal(28,12)")).cast("double").alias("_total"), F.max("duration").alias("_max"),
         F.count_if(F.col("duration") >= severe_sec).alias("severe_pause_count"))
     rows = media.select("media_id", "video_dur").join(before, "media_id", "left").join(after, "media_id", "left")
     rows = rows.fillna(0, ["before", "pause_count", "_total", "_max", "severe_pause_count"])
     return rows.select(
         "media_id", "before", "pause_count",
         F.greatest(F.lit(0), F.col("before") - F.col("pause_count")).alias("merged"),
-        F.bround("_total", 3).alias("total_pause_sec"),
-        F.bround(F.when(F.col("video_dur") > 0, F.col("_total") / F.col("video_dur")).otherwise(0.0), 5).alias("pause_ratio"),
-        "severe_pause_count", F.bround("_max", 3).alias("max_pause_sec"))
+        round_exact("_total", 3).alias("total_pause_sec"),
+        round_exact(F.when(F.col("video_dur") > 0, F.col("_total") / F.col("video_dur")).otherwise(0.0), 5).alias("pause_ratio"),
+        "severe_pause_count", round_exact("_max", 3).alias("max_pause_sec"))
 
 
 def top_pauses(pauses: DataFrame, min_sec: float = 2.0, k: int = 10) -> DataFrame:

@@ -262,13 +262,26 @@ def _(spark, sf):
                          F.array_join(F.transform("segments", lambda s: s.cast("string")), ",").alias("segments"))
 
 
-@register("pause_summary", _after_views("""
+def _round_exact(x: str, digits: int) -> str:
+    """``round_exact`` in SQL: DuckDB's own rounding takes the rounded product for the value."""
+    scale, split = 10.0 ** (digits + 1), 134217729.0
+    high = scale * split - (scale * split - scale)
+    low, top = scale - high, f"(x * {split!r}::DOUBLE - (x * {split!r}::DOUBLE - x))"
+    bottom, product = f"(x - {top})", f"(x * {scale!r}::DOUBLE)"
+    error = f"((({top} * {high!r}::DOUBLE - {product}) + {top} * {low!r}::DOUBLE + {bottom} * {high!r}::DOUBLE) + {bottom} * {low!r}::DOUBLE)"
+    side = f"sign(({product} - round_even({product}, 0)) + {error})"
+    tie = f"(abs(round_even({product}, 0)::HUGEINT % 10) = 5 AND abs({product} - round_even({product}, 0)) < 0.25)"
+    made = f"CASE WHEN {tie} THEN round_even((round_even({product}, 0) + {side}) / 10, 0) / {10.0 ** digits!r}::DOUBLE ELSE round(x, {digits}) END"
+    return f"list_transform([{x}], lambda x: {made})[1]"
+
+
+@register("pause_summary", _after_views(f"""
     SELECT m.media_id, coalesce(b, 0) AS before, coalesce(n, 0) AS pause_count,
-        greatest(0, coalesce(b, 0) - coalesce(n, 0)) AS merged, round(coalesce(total, 0e0), 3) AS total_pause_sec,
-        round(coalesce(total, 0e0) / video_dur, 5) AS pause_ratio, coalesce(sev, 0) AS severe_pause_count,
-        round(coalesce(mx, 0e0), 3) AS max_pause_sec
+        greatest(0, coalesce(b, 0) - coalesce(n, 0)) AS merged, {_round_exact("coalesce(total, 0e0)", 3)} AS total_pause_sec,
+        {_round_exact("coalesce(total, 0e0) / video_dur", 5)} AS pause_ratio, coalesce(sev, 0) AS severe_pause_count,
+        {_round_exact("coalesce(mx, 0e0)", 3)} AS max_pause_sec
     FROM v_media m LEFT JOIN (SELECT media_id, count(*) AS b FROM clean GROUP BY 1) USING (media_id)
-    LEFT JOIN (SELECT media_id, count(*) AS n, sum(duration) AS total, max(duration) AS mx,
+    LEFT JOIN (SELECT media_id, count(*) AS n, sum(CAST(duration AS DECIMAL(28,12)))::DOUBLE AS total, max(duration) AS mx,
                count(*) FILTER (duration >= 2) AS sev FROM final GROUP BY 1) USING (media_id)""",
     MERGED, "v_placed", pauses=PAUSES))
 def _(spark, sf):

@@ -19,6 +19,8 @@ def tables():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, tables, name):
     ok, text = compare(spark, tables, SF, entry.queries()[name], entry.oracle_sql().get(name))
+    if ok is None:
+        pytest.skip(f"{name} has no SQL twin: {text}")
     assert ok, text
 
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cuelog.functions.numbers import round_exact
 from cuelog.operators import events as ev
 from cuelog.operators import inventory as iv
 from cuelog.operators import jobs as jb
@@ -141,3 +142,15 @@ def test_srt_golden(spark):
     doc = wr.to_srt(seg, pauses).first().document
     assert doc == "1\n00:00:00,000 --> 00:00:01,750\none\n\n2\n00:00:01,750 --> 00:00:02,750\ntwo words\n"
     assert tl.shift_by_pauses(seg.select("media_id", "start"), pauses, "start").filter("shifted = 1.75").count() == 1
+
+
+def test_round_like_python(spark):
+    rng = random.Random(1)
+    values = [3.755 / 8, 0.469375, 2.675, 1.005, 0.5, 1.5, 2.5, -0.125, 0.125, 0.375, 1e-9, 1e17, -3.755 / 8, 0.0, 2.0005, 1234567.0005]
+    values += [rng.randrange(-10**7, 10**7) / rng.choice([1000, 2000, 16000, 7, 3.1, 8e5]) for _ in range(3000)]
+    values += [k / 10 ** n + 5 / 10 ** (n + 1) for n in (2, 3, 4, 5) for k in rng.sample(range(100000), 200)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (3, 4, 5):
+        got = frame.select("x", round_exact("x", digits).alias("y")).collect()
+        assert [r for r in got if r.y != round(r.x, digits)] == []
+    assert spark.sql("SELECT CAST(NULL AS double) AS x").select(round_exact("x", 3)).first()[0] is None
