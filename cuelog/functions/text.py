@@ -18,7 +18,8 @@ KEY_OR_TOKEN = r"(api[_-]?key|access[_-]?token|refresh[_-]?token)(\s*[:=]\s*)([^
 COOKIE = r"(cookie|set-cookie)(\s*[:=]\s*)[^\r\n]+"
 SECRET_KEY = r"(password|secret|token|api.?key|authorization)"
 NUMERIC_TOKEN = "\\d+(?:(?:[.,:/-]\\d+)|(?:[ \u00A0]\\d{3}))*"
-PROTECTED_TOKEN = r"(?:https?://[^\s<>]+|www\.[^\s<>]+|[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})"
+PROTECTED_URL = r"https?://[^\s<>]+|www\.[^\s<>]+"
+PROTECTED_TOKEN = rf"(?:{PROTECTED_URL}|[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}})"
 WORD = r"[\p{L}\p{N}_]"
 LATIN = r"A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 CYRILLIC = r"А-Яа-яЁё"
@@ -51,7 +52,8 @@ def let(body, **values: Column) -> Column:
 def strip(text) -> Column:
     """Trim every kind of white space, not only blanks; NULL becomes ''."""
     text = F.coalesce(_col(text), F.lit(""))
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    edges = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))  # most texts have nothing to trim
+    return F.when(edges.rlike(rf"(?U){SPACE}"), F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")).otherwise(text)
 
 
 def rstrip(text) -> Column:
@@ -135,8 +137,7 @@ def signature_text(text) -> Column:
 
 def word_normalize(text) -> Column:
     """The lower-case words of a text with single blanks between them."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(f"({WORD}+)"), F.lit(1))
-    return F.array_join(words, " ")
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), f"[^{WORD[1:-1]}]+", " "))
 
 
 def numeric_tokens(text) -> Column:
@@ -145,19 +146,47 @@ def numeric_tokens(text) -> Column:
     return F.transform(found, lambda t: F.regexp_replace(t, r"(?U)[^\d]", ""))
 
 
+def _where_protected(text: Column, work, otherwise: Column) -> Column:
+    """``work(pattern)`` with the cheapest pattern that finds the text's URLs and addresses; ``otherwise`` where a glance shows none.
+
+    An address takes an ``@``; without one, its pattern would try every word in vain.
+    """
+    low = F.lower(text)
+    return (F.when(F.contains(text, F.lit("@")), work(f"(?iU)({PROTECTED_TOKEN})"))
+            .when(F.contains(text, F.lit("://")) | F.contains(low, F.lit("www.")), work(f"(?iU)({PROTECTED_URL})"))
+            .otherwise(otherwise))
+
+
 def protected_tokens(text) -> Column:
     """URLs and e-mail addresses, lower case, closing punctuation removed."""
-    found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"(?iU)({PROTECTED_TOKEN})"), F.lit(1))
+    text = F.coalesce(_col(text), F.lit(""))
+    found = _where_protected(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.array().cast("array<string>"))
     clean = F.transform(found, lambda t: F.lower(F.rtrim(t, F.lit(".,;:!?)]}"))))
     return F.filter(clean, lambda t: t != "")
 
 
+def without_protected(text) -> Column:
+    """The text with a blank for every URL and e-mail address."""
+    text = F.coalesce(_col(text), F.lit(""))
+    return _where_protected(text, lambda p: F.regexp_replace(text, p, " "), text)
+
+
 def tokens_preserved(source: Column, target: Column) -> Column:
-    """True if no token of ``source`` occurs less often in ``target``."""
-    # copies of a token stand together once sorted: the n-th copy in the source needs an n-th copy in the target
-    def numbered(tokens):
-        return let(lambda v: F.transform(v["s"], lambda t, i: F.struct(t.alias("t"), (i - F.array_position(v["s"], t)).alias("n"))), s=F.array_sort(tokens))
-    return F.size(F.array_except(numbered(source), numbered(target))) == 0
+    """True if no token of ``source`` occurs less often in ``target``.
+
+    Both lists in one sorted line, a token's copies in the target first: one pass counts them
+    up and the source's copies down.
+    """
+    def side(tokens: Column, number: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(number).alias("k")))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(acc["t"].eqNullSafe(x["t"]), acc["n"]).otherwise(0) + F.when(x["k"] == 0, 1).otherwise(-1)
+        return F.struct(x["t"].alias("t"), left.alias("n"), (acc["ok"] & (left >= 0)).alias("ok"))
+
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("ok"))
+    merged = F.aggregate(F.array_sort(F.concat(side(source, 1), side(target, 0))), start, step, lambda acc: acc["ok"])
+    return F.when(F.size(source) == 0, source.isNotNull()).otherwise(merged)
 
 
 def shared_words(source_words: Column, target_words: Column, allowed: list[str]) -> Column:
@@ -171,7 +200,9 @@ def shared_words(source_words: Column, target_words: Column, allowed: list[str])
 
 
 def script_chars(text, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(_col(text), F.lit("")), F.lit(pattern))
+    """How many characters match ``pattern``, which stands for one character; runs of them are taken at once."""
+    text = F.coalesce(_col(text), F.lit(""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
 
 
 def source_script_chars(text, language) -> Column:
