@@ -89,8 +89,9 @@ def recover_tasks(tasks: DataFrame, files: DataFrame, outputs: DataFrame) -> Dat
     A running task is cancelled if that was asked for, completed if its batch and
     every file finished and all outputs are there, else interrupted.
     """
-    there = outputs.select("output_path").distinct().withColumn("_there", F.lit(True))
-    kept = files.join(there, "output_path", "left").groupBy("task_id").agg(F.bool_and(
+    # files without an output have no key: NULL meets nothing, so they are not gathered at one
+    there = outputs.select(F.nullif("output_path", F.lit("")).alias("_out")).filter("_out IS NOT NULL").distinct().withColumn("_there", F.lit(True))
+    kept = files.withColumn("_out", F.nullif("output_path", F.lit(""))).join(there, "_out", "left").groupBy("task_id").agg(F.bool_and(
         (F.col("status") == "succeeded") & (F.trim("output_path") != "") & F.coalesce("_there", F.lit(False))).alias("_all"))
     rows = tasks.join(kept, "task_id", "left")
     running = F.col("status") == "running"
@@ -231,9 +232,13 @@ def resume_plan(files: DataFrame, inventory: DataFrame, validated: DataFrame) ->
 
 def files_to_redo(files: DataFrame, lost: DataFrame) -> DataFrame:
     """Unfinished files, and finished ones whose output is in ``lost`` (output_path)."""
-    gone = lost.select("output_path").distinct().withColumn("_lost", F.lit(True))
-    return files.join(gone, "output_path", "left").filter(
-        (F.coalesce("status", F.lit("pending")) != "succeeded") | F.coalesce("_lost", F.lit(False))).drop("_lost")
+    # files without an output share one key: it is dealt out, and the one lost row of that key is there for every part
+    parts = 64
+    gone = lost.select("output_path").distinct().withColumn("_part", F.explode(F.when(F.col("output_path") == "", F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    part = F.when(F.col("output_path") == "", F.pmod(F.xxhash64(*files.columns), F.lit(parts)).cast("int")).otherwise(0)
+    kept = files.withColumn("_part", part).join(gone.withColumn("_lost", F.lit(True)), ["output_path", "_part"], "left").filter(
+        (F.coalesce("status", F.lit("pending")) != "succeeded") | F.coalesce("_lost", F.lit(False)))
+    return kept.select(*files.columns)
 
 
 def drop_tombstoned(tasks: DataFrame, known_ids: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.batching import build_marker_batch, parse_marker_batch
-from ..functions.text import (LATIN, numeric_tokens, protected_tokens, shared_words, tokens_preserved)
+from ..functions.text import (CYRILLIC, LATIN, NUMERIC_TOKEN, PROTECTED_TOKEN, numeric_tokens, protected_tokens, shared_words, tokens_preserved)
 from ..operators import pairs as pr
 from ..sources import review as rv
 from . import views as v
@@ -53,6 +53,42 @@ def _(spark, sf):
     return out.select("pair_id", "ok", F.array_join("reasons", ",").alias("reasons"))
 
 
+TECH = "[" + ", ".join(f"'{w}'" for w in pr.TECH_WORDS) + "]"
+
+
+def _lost(a: str, b: str) -> str:
+    """Some token is more often in ``a`` than in ``b``."""
+    return f"len(list_filter(list_distinct({a}), lambda x: len(list_filter({a}, lambda y: y = x)) > len(list_filter({b}, lambda y: y = x)))) > 0"
+
+
+def _numbers(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{NUMERIC_TOKEN}'), lambda t: regexp_replace(t, '[^0-9]', '', 'g'))"
+
+
+def _guarded(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, '(?i){PROTECTED_TOKEN}'), lambda t: lower(rtrim(t, '.,;:!?)]}}'))), lambda t: t <> '')"
+
+
+@register("quality_gate_rules", with_views(rf"""
+    SELECT pair_id, CASE WHEN e THEN 'empty' ELSE concat_ws(',', CASE WHEN short THEN 'too_short' END, CASE WHEN num THEN 'numeric_token_changed' END, CASE WHEN prot THEN 'protected_token_changed' END,
+        CASE WHEN l THEN 'source_language_left' WHEN ru AND cyr >= 8 AND shared >= 2 THEN 'source_words_left' WHEN ru AND cyr >= 8 AND long > 0 THEN 'source_word_left' END) END AS reasons
+    FROM (SELECT *, ru AND ordinary >= 3 AND lat / greatest(1, lat + cyr) >= 0.28 AS l FROM (
+        SELECT pair_id, {_strip('d')} = '' AS e, length({_strip('d')}) < greatest(3, floor(length({_strip('s')}) * 0.16)) AS short, {_lost(_numbers('s'), _numbers('d'))} AS num, {_lost(_guarded('s'), _guarded('d'))} AS prot,
+            target_lang = 'ru' AND source_lang IN ({', '.join(f"'{c}'" for c in pr.LATIN_LANGUAGES)}) AS ru,
+            length(regexp_replace(d, '[^{LATIN}]', '', 'g')) AS lat, length(regexp_replace(d, '[^{CYRILLIC}]', '', 'g')) AS cyr,
+            len(list_filter(dw, lambda w: regexp_matches(w, '[{LATIN}]') AND NOT list_contains({TECH}, trim(lower(w), '._-/')) AND NOT regexp_matches(w, '\d') AND length(w) > 2 AND NOT regexp_matches(w, '^\p{{Lu}}.*\p{{Lu}}'))) AS ordinary,
+            len(list_filter(dl, lambda w: length(w) > 3 AND list_contains(sl, lower(w)) AND NOT list_contains({TECH}, lower(w)))) AS shared,
+            len(list_filter(dl, lambda w: length(w) >= 9 AND w = lower(w) AND list_contains(sl, w) AND NOT list_contains({TECH}, w))) AS long
+        FROM (SELECT *, regexp_extract_all(bd, '[{LATIN}{CYRILLIC}0-9][{LATIN}{CYRILLIC}0-9_+.#/-]*') AS dw, regexp_extract_all(bd, '[{LATIN}][{LATIN}''-]{{2,}}') AS dl,
+                list_distinct(list_transform(regexp_extract_all(bs, '[{LATIN}][{LATIN}''-]{{2,}}'), lambda w: lower(w))) AS sl
+            FROM (SELECT *, coalesce(source, '') AS s, coalesce(translated, '') AS d, regexp_replace(coalesce(translated, ''), '(?i){PROTECTED_TOKEN}', ' ', 'g') AS bd,
+                regexp_replace(coalesce(source, ''), '(?i){PROTECTED_TOKEN}', ' ', 'g') AS bs FROM v_pair))))""", "v_pair"))
+def _(spark, sf):
+    """All reasons but likeness, which SQL has no measure for."""
+    out = pr.quality_gate(v.v_pair(spark, sf))
+    return out.select("pair_id", F.array_join(F.filter("reasons", lambda r: r != "mostly_unchanged"), ",").alias("reasons"))
+
+
 def _pairs(spark, sf):
     return v.v_pair(spark, sf).withColumn("seg_index", F.col("pair_id"))
 
@@ -69,14 +105,16 @@ def _(spark, sf):
 
 @register("integrity_gate", with_views("""
     SELECT media_id, count(*) FILTER (integrity = 'invalid') AS invalid_count, count(*) FILTER (integrity = 'missing') AS missing_count,
+        coalesce(string_agg(CAST(pair_id AS VARCHAR), ',' ORDER BY pair_id) FILTER (integrity = 'missing'), '') AS missing_indices,
         coalesce(string_agg(pair_id || ':' || reason, ',' ORDER BY pair_id) FILTER (integrity = 'invalid' AND rn <= 2), '') AS invalid_samples,
         count(*) FILTER (integrity <> 'ok') > 0 AS blocked
     FROM (SELECT *, row_number() OVER (PARTITION BY media_id, integrity ORDER BY pair_id) AS rn FROM state) GROUP BY media_id""",
     "v_pair", verdict=_verdict("translated", "source", "v_pair"), state=STATE))
 def _(spark, sf):
     shown = F.transform("invalid_samples", lambda s: F.concat_ws(":", s["seg_index"].cast("string"), s["reason"]))
-    return pr.integrity_gate(_pairs(spark, sf), samples=2).withColumn(
-        "invalid_samples", F.coalesce(F.array_join(shown, ","), F.lit("")))
+    return pr.integrity_gate(_pairs(spark, sf), samples=2).withColumns({
+        "invalid_samples": F.coalesce(F.array_join(shown, ","), F.lit("")),
+        "missing_indices": F.array_join(F.transform("missing_indices", lambda i: i.cast("string")), ",")})
 
 
 RESTORED = """SELECT *, CASE WHEN stored IS NULL THEN 'pending' WHEN reason = 'ok' THEN 'hit' ELSE 'rejected' END AS restore_status

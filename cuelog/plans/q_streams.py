@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
+from ..sources import writers as wr
 from ..streaming import live as lv
 from ..streaming import machines as mc
 from ..streaming import storms as sm
 from . import views as v
+from .q_inventory import _fresh
 from .q_events import _upto
 from .registry import register
 from .views import with_views
@@ -22,17 +24,35 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parquet*")
 
 
+def _requests(rows):
+    """The same view as ``v_req``, of the events as they come."""
+    return rows.select(
+        (F.col("user_id") % 5).alias("service"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.expr("CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'request' END").alias("kind"),
+        F.expr("CASE WHEN event_type = 'error' THEN CASE WHEN value < 30 THEN 'rate_limit' ELSE 'timeout' END END").alias("reason"))
+
+
 CIRCUIT = """SELECT *, row_number() OVER w AS p, coalesce(lag(r) OVER w, '') AS prev FROM (
         SELECT service AS provider, CAST(date_diff('second', TIMESTAMP '2024-01-01', ts) AS DOUBLE) AS t, seq, reason, coalesce(reason, '') AS r
         FROM v_req WHERE kind <> 'request') WINDOW w AS (PARTITION BY provider ORDER BY t, seq)"""
 
 
-@register("provider_circuit", with_views("""
+CIRCUITS = with_views("""
     SELECT provider, seq, streak, round(coalesce(until, 0), 3) AS cooldown_until, coalesce(lag(until) OVER (PARTITION BY provider ORDER BY t, seq), 0) <= t AS available
     FROM (SELECT *, max(u) OVER (PARTITION BY provider, epoch ORDER BY t, seq) AS until FROM (
         SELECT *, CASE WHEN r = '' THEN NULL ELSE t + CASE WHEN r = 'rate_limit' THEN least(3600e0 * power(2e0, least(streak - 1, 4)), 900e0) ELSE 3600e0 END END AS u
         FROM (SELECT *, CASE WHEN r = '' THEN 0 ELSE p - max(CASE WHEN r = '' OR r <> prev THEN p END) OVER w + 1 END AS streak,
-                coalesce(max(CASE WHEN r = '' THEN p END) OVER w, 0) AS epoch FROM c WINDOW w AS (PARTITION BY provider ORDER BY t, seq))))""", "v_req", c=CIRCUIT))
+                coalesce(max(CASE WHEN r = '' THEN p END) OVER w, 0) AS epoch FROM c WINDOW w AS (PARTITION BY provider ORDER BY t, seq))))""", "v_req", c=CIRCUIT)
+
+
+@register("provider_circuit_stream", CIRCUITS)
+def _(spark, sf):
+    calls = _requests(_event_stream(spark, sf)).filter("kind <> 'request'").select(F.col("service").alias("provider"), F.expr(SECONDS).alias("ts"), "seq", "reason")
+    out = lv.drain(mc.provider_circuit_stream(calls, 3600.0))
+    return out.select(F.col("provider").cast("bigint").alias("provider"), "seq", "streak", F.round("cooldown_until", 3).alias("cooldown_until"), "available")
+
+
+@register("provider_circuit", CIRCUITS)
 def _(spark, sf):
     calls = v.v_req(spark, sf).filter("kind <> 'request'").select(
         F.col("service").alias("provider"), F.expr(SECONDS).alias("ts"), "seq", "reason")
@@ -57,12 +77,53 @@ def _(spark, sf):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "service", "failures")
 
 
-@register("live_summary", with_views("""
+@register("windowed_failures_stream", with_views("""
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, service, failures FROM (
+        SELECT time_bucket(INTERVAL '6 hours', ts) AS w, service, count(*) AS failures FROM v_req WHERE kind = 'failure' GROUP BY ALL)
+    WHERE w + INTERVAL '6 hours' <= (SELECT max(ts) FROM v_req) - INTERVAL '1 hour'""", "v_req"))
+def _(spark, sf):
+    """Windows that the watermark has closed."""
+    out = lv.drain(lv.windowed_failures(_requests(_event_stream(spark, sf)), "6 hours", "1 hour"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "service", "failures")
+
+
+#: A stretch begins where the failure before is the gap away.
+STRETCHES = """SELECT service, min(ts) AS a, max(ts) + INTERVAL '2 hours' AS b, count(*) AS failures FROM (
+        SELECT *, sum(CASE WHEN ts < prev + INTERVAL '2 hours' THEN 0 ELSE 1 END) OVER (PARTITION BY service ORDER BY ts, seq) AS g FROM (
+            SELECT *, lag(ts) OVER (PARTITION BY service ORDER BY ts, seq) AS prev FROM v_req WHERE kind = 'failure')) GROUP BY service, g"""
+STRETCH_COLUMNS = "SELECT strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS session_end, service, failures FROM stretches"
+
+
+def _stretches(out):
+    clock = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return out.select(F.date_format("session_start", clock).alias("session_start"), F.date_format("session_end", clock).alias("session_end"), "service", "failures")
+
+
+@register("failure_sessions", with_views(STRETCH_COLUMNS, "v_req", stretches=STRETCHES))
+def _(spark, sf):
+    return _stretches(lv.failure_sessions(v.v_req(spark, sf), "2 hours"))
+
+
+@register("failure_sessions_stream", with_views(STRETCH_COLUMNS + " WHERE b <= (SELECT max(ts) FROM v_req) - INTERVAL '1 hour'", "v_req", stretches=STRETCHES))
+def _(spark, sf):
+    """Stretches that the watermark has closed."""
+    return _stretches(lv.drain(lv.failure_sessions(_requests(_event_stream(spark, sf)), "2 hours", "1 hour")))
+
+
+LIVE = with_views("""
     SELECT session_id, count(*) AS events, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,
         max_by(event, sequence) AS last_event, max(sequence) AS last_sequence,
         coalesce(max_by(CASE WHEN event = 'app_session_finished' THEN 'closed' ELSE stage END, sequence) FILTER (event = 'app_session_finished' OR stage IS NOT NULL), 'startup') AS stage,
         max_by(input_path, sequence) FILTER (input_path IS NOT NULL) AS input_path, count(*) FILTER (event = 'network_storm_started') AS incidents_started,
-        count(*) FILTER (event = 'network_storm_finished') AS incidents_finished, bool_or(event = 'app_session_finished') AS closed FROM v_ev GROUP BY session_id""", "v_ev"))
+        count(*) FILTER (event = 'network_storm_finished') AS incidents_finished, bool_or(event = 'app_session_finished') AS closed FROM v_ev GROUP BY session_id""", "v_ev")
+
+
+@register("live_summary_stream", LIVE)
+def _(spark, sf):
+    return lv.drain_latest(lv.live_summary(v.ev_from(_event_stream(spark, sf))), ["session_id"])
+
+
+@register("live_summary", LIVE)
 def _(spark, sf):
     return lv.live_summary(v.v_ev(spark, sf))
 
@@ -72,7 +133,7 @@ VOICE = """SELECT session_id, sequence, service, 'voice ' || (sequence % 3) AS v
             WHEN 'tts_segment_failed' THEN 'tts_gtts_fallback_enabled' WHEN 'stage_finished' THEN 'tts_summary' ELSE event END AS event FROM v_ev"""
 
 
-@register("voice_status", with_views("""
+VOICES = with_views("""
     SELECT session_id, coalesce(max_by(st, sequence) FILTER (st IS NOT NULL), 'idle') AS status, coalesce(max_by(fb, sequence) FILTER (fb IS NOT NULL), '') AS fallback_provider,
         coalesce(max_by(vo, sequence) FILTER (vo IS NOT NULL), '') AS selected_voice, coalesce(max_by(fb, sequence) FILTER (fb IS NOT NULL), '') <> '' AS voice_may_differ
     FROM (SELECT *, CASE WHEN event = 'tts_voice_preservation_started' THEN 'waiting_for_edge_tts' WHEN event = 'tts_edge_probe_started' THEN 'checking_edge_tts'
@@ -80,18 +141,30 @@ VOICE = """SELECT session_id, sequence, service, 'voice ' || (sequence % 3) AS v
             WHEN event = 'tts_summary' THEN 'finished' END AS st,
         CASE WHEN event = 'tts_voice_preservation_started' THEN '' WHEN event = 'tts_gtts_fallback_enabled' THEN 'gtts'
             WHEN event = 'tts_summary' THEN CASE WHEN fallback_count > 0 THEN 'gtts' ELSE '' END END AS fb,
-        CASE WHEN event IN ('tts_voice_preservation_started', 'tts_gtts_fallback_enabled', 'tts_summary') THEN voice END AS vo FROM voice) GROUP BY session_id""", "v_ev", voice=VOICE))
-def _(spark, sf):
+        CASE WHEN event IN ('tts_voice_preservation_started', 'tts_gtts_fallback_enabled', 'tts_summary') THEN voice END AS vo FROM voice) GROUP BY session_id""", "v_ev", voice=VOICE)
+
+
+def _voices(ev_rows):
     names = {"network_storm_started": "tts_voice_preservation_started", "tts_retry": "tts_edge_probe_started",
              "tts_segment_failed": "tts_gtts_fallback_enabled", "stage_finished": "tts_summary"}
     event = F.col("event")
     for old, new in names.items():
         event = F.when(F.col("event") == old, new).otherwise(event)
-    rows = v.v_ev(spark, sf).select(
+    rows = ev_rows.select(
         "session_id", "sequence", "service", F.expr("concat('voice ', sequence % 3)").alias("voice"),
         F.expr("CASE WHEN sequence % 2 = 0 THEN 1 ELSE 0 END").alias("fallback_count"),
         F.lit(None).cast("string").alias("voice_consistency"), event.alias("event"))
-    return lv.voice_status(rows)
+    return rows
+
+
+@register("voice_status", VOICES)
+def _(spark, sf):
+    return lv.voice_status(_voices(v.v_ev(spark, sf)))
+
+
+@register("voice_status_stream", VOICES)
+def _(spark, sf):
+    return lv.drain_latest(lv.voice_status(_voices(v.ev_from(_event_stream(spark, sf)))), ["session_id"])
 
 
 #: One row an answer or request and service, told by the one before: what is known, then what is said of the row.
@@ -145,3 +218,15 @@ def _(spark, sf):
     stream = _event_stream(spark, sf)
     events = ev.diagnose(v.ev_from(stream))
     return lv.drain(mc.sample_repeats_stream(events))
+
+
+@register("log_intake_restart", with_views("""
+    SELECT CAST(session_id AS VARCHAR) AS session_id, sequence, level, event, stage, service FROM v_ev""", "v_ev"))
+def _(spark, sf):
+    """Rotated logs taken in by two runs, files arriving in between: the second goes on where the first stopped."""
+    logs, base = _fresh(spark, "rotated"), _fresh(spark, "intake")
+    events = v.v_ev(spark, sf)
+    wr.write_event_log(events.filter("sequence % 2 = 0"), logs)
+    lv.intake(spark, logs, base)
+    wr.write_event_log(events.filter("sequence % 2 = 1"), logs)
+    return lv.intake(spark, logs, base).select("session_id", "sequence", "level", "event", "stage", "service")

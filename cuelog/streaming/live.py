@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources.readers import parse_event_lines
+from ..sources.readers import LOG_FILE, parse_event_lines
 
 
 def stream_event_log(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Events from rotated log files that appear under ``path/<session>/``.
+    """Events from rotated log files that appear under ``path``, in the layouts that :func:`read_event_log` knows.
 
     The file source reads a file once, so a log must be rotated, not appended to.
     """
     lines = (spark.readStream.schema("value STRING").option("maxFilesPerTrigger", max_files)
              .option("recursiveFileLookup", "true").format("text").load(path))
-    session = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return parse_event_lines(lines.select("value", session.alias("session_id")))
+    name = F.col("_metadata.file_path")
+    return parse_event_lines(lines.filter(name.rlike(LOG_FILE)).select("value", F.regexp_extract(name, LOG_FILE, 1).alias("session_id")))
 
 
 def live_summary(events: DataFrame) -> DataFrame:
@@ -71,6 +71,18 @@ def windowed_failures(calls: DataFrame, window: str = "10 minutes", watermark: s
                 F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "service", "failures"))
 
 
+def failure_sessions(calls: DataFrame, gap: str = "10 minutes", watermark: str | None = "1 hour") -> DataFrame:
+    """Stretches of failures per service with no pause of ``gap`` in between: their first and last moment plus ``gap``, and how many.
+
+    Input: service, ts, kind.  On a stream a stretch is told once the watermark has passed its end; failures
+    of one stretch that come in different triggers are merged in the state.
+    """
+    rows = calls.withWatermark("ts", watermark) if calls.isStreaming and watermark else calls
+    return (rows.filter("kind = 'failure'").groupBy(F.session_window("ts", gap).alias("w"), "service")
+            .agg(F.count(F.lit(1)).alias("failures")).select(
+                F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "service", "failures"))
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything present and return what it wrote, as a table in the shared folder."""
     spark = stream.sparkSession
@@ -79,3 +91,39 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
              .trigger(availableNow=True).start(f"{base}/rows"))
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over everything present and return the last row of every key.
+
+    Each trigger's rows are written under its number, so a trigger that is run again writes the same files.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/_trigger={number}")
+
+    query = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state")
+             .trigger(availableNow=True).foreachBatch(keep).start())
+    query.awaitTermination()
+    seen = spark.read.option("basePath", f"{base}/rows").schema(f"{_ddl(stream)}, _trigger INT").parquet(f"{base}/rows/_trigger=*")
+    last = seen.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_trigger").alias("r"))
+    return last.select("r.*")
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def intake(spark: SparkSession, path: str, base: str) -> DataFrame:
+    """Take in what is new under ``path`` since the last call with this ``base``; all events taken in so far.
+
+    ``base`` (in the shared folder) holds the progress and the events: a call after a crash or a restart goes
+    on where the last finished trigger stopped, and no file counts twice.
+    """
+    stream = stream_event_log(spark, path)
+    query = (stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
+             .trigger(availableNow=True).start(f"{base}/rows"))
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
