@@ -306,15 +306,35 @@ def session_counters(events: DataFrame) -> DataFrame:
         F.count_if(bad & F.col("event").isin(RESPONSE_EVENTS)).alias("rejected_responses"))
 
 
-def session_verdict(counters: DataFrame, quality: DataFrame, pause: DataFrame | None = None) -> DataFrame:
+def previous_status(sessions: DataFrame, stale_sec: int = 900) -> DataFrame:
+    """How the session before ended, per installation: ``session_id`` and ``previous_status`` (null: the first one).
+
+    Input: installation, session_id, started and last_seen (timestamps), closed.  A session that did not close is interrupted
+    once the next one of its installation starts ``stale_sec`` or more after its last sign of life, else it may still run.
+    Sessions of one installation are in order of their start, then id; an installation is split over blocks of days.
+    """
+    ended = F.struct("closed", "last_seen")
+    rows = sessions.select(F.coalesce(F.col("installation").cast("string"), F.lit("")).alias("_place"), "session_id", "started", "last_seen", "closed")
+    seen = o.ordered_scan(rows, ["_place"], ["started", "session_id"], F.floor(F.unix_timestamp("started") / 86400), _before=o.previous(ended))
+    quiet = F.unix_micros("started") - F.unix_micros("_before.last_seen") >= stale_sec * 1_000_000
+    return seen.select("session_id", F.when(F.col("_before.closed"), "closed").when(quiet, "interrupted").when(
+        F.col("_before").isNotNull(), "possibly_active").alias("previous_status"))
+
+
+def session_verdict(counters: DataFrame, quality: DataFrame, pause: DataFrame | None = None, cards: DataFrame | None = None) -> DataFrame:
     """Result class, observations and improvement candidates per session.
 
-    ``pause`` (optional): session_id, pause_ratio, fallback_segments, previous_status.
+    ``pause`` (optional): session_id, pause_ratio, fallback_segments, previous_status and, where known, artifact_errors.
+    ``cards`` (optional): ranked issue cards, whose first one is the ``primary_issue_signature``.
     """
     rows = counters.join(quality.select("session_id", "problems_missing_stage_and_input", "errors_without_traceback",
                                         "problem_events_total", "unique_problem_signatures_total"), "session_id")
     rows = rows.join(pause, "session_id", "left") if pause is not None else rows.withColumns({
         "pause_ratio": F.lit(0.0), "fallback_segments": F.lit(0), "previous_status": F.lit(None).cast("string")})
+    if "artifact_errors" not in rows.columns:
+        rows = rows.withColumn("artifact_errors", F.lit(0))
+    top = cards.filter("rank = 1").select("session_id", F.col("signature").alias("_top")) if cards is not None else None
+    rows = rows.join(top, "session_id", "left") if cards is not None else rows.withColumn("_top", F.lit(None).cast("string"))
     ratio, voices = F.coalesce("pause_ratio", F.lit(0.0)), F.coalesce("fallback_segments", F.lit(0))
     broken = F.coalesce(F.col("previous_status") == "interrupted", F.lit(False))
     errors = F.col("errors") > 0
@@ -335,7 +355,8 @@ def session_verdict(counters: DataFrame, quality: DataFrame, pause: DataFrame |
     candidates.insert(1, F.when(ratio >= 0.05, F.lit("medium:pause_sync_quality")))
     candidates.insert(2, F.when(voices > 0, F.lit("medium:tts_voice_consistency")))
     gaps = [F.when(F.col("problems_missing_stage_and_input") > 0, F.lit("high:missing_stage_and_input")),
-            F.when(F.col("errors_without_traceback") > 0, F.lit("high:errors_without_traceback"))]
+            F.when(F.col("errors_without_traceback") > 0, F.lit("high:errors_without_traceback")),
+            F.when(F.col("artifact_errors") > 0, F.lit("high:artifact_write_errors"))]
 
     def fired(items: list[Column], default: str) -> Column:
         kept = F.filter(F.array(*items), lambda c: c.isNotNull())
@@ -347,7 +368,7 @@ def session_verdict(counters: DataFrame, quality: DataFrame, pause: DataFrame |
             "no_problems_detected_yet").alias("result"),
         fired([F.when(test, F.lit(name)) for name, test in noted.items()], "nothing_recorded").alias("observations"),
         fired(candidates, "low:no_confirmed_change").alias("candidates"),
-        fired(gaps, "low:no_gap_found").alias("logging_gaps"), "categories")
+        fired(gaps, "low:no_gap_found").alias("logging_gaps"), "categories", F.coalesce("_top", F.lit("")).alias("primary_issue_signature"))
 
 
 # ---------------------------------------------------------------- free-form details (JSON text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
+from ..sources import writers as wr
 from . import views as v
 from .registry import register
 from .views import with_views
@@ -244,6 +245,66 @@ def _(spark, sf):
     return out.select("session_id", "result", *[F.array_join(c, ",").alias(c) for c in ("observations", "candidates", "logging_gaps")])
 
 
+#: Sessions of seven installations in the order of their first event, and how the one before each ended.
+PREVIOUS = """SELECT session_id, CASE WHEN shut THEN 'closed' WHEN age >= 900000000 THEN 'interrupted' WHEN age IS NOT NULL THEN 'possibly_active' END AS previous_status FROM (
+    SELECT session_id, lag(closed) OVER w AS shut, epoch_us(a) - epoch_us(lag(b) OVER w) AS age FROM (
+        SELECT session_id, min(ts) AS a, min(ts) + INTERVAL '5 hours' AS b, bool_or(event = 'app_session_finished' AND sequence % 3 = 0) AS closed FROM v_ev GROUP BY session_id)
+    WINDOW w AS (PARTITION BY session_id % 7 ORDER BY a, session_id))"""
+
+
+def _previous(spark, sf):
+    shut = F.coalesce(F.bool_or((F.col("event") == "app_session_finished") & (F.col("sequence") % 3 == 0)), F.lit(False))
+    sessions = v.v_ev(spark, sf).groupBy("session_id").agg(F.min("ts").alias("started"), shut.alias("closed"))
+    sessions = sessions.withColumn("last_seen", F.col("started") + F.expr("INTERVAL '5' HOUR")).withColumn("installation", F.col("session_id") % 7)
+    return ev.previous_status(sessions)
+
+
+@register("previous_status", with_views(PREVIOUS, "v_ev"))
+def _(spark, sf):
+    return _previous(spark, sf)
+
+
+@register("session_verdict_full", _upto("ranked", f"""
+    SELECT c.session_id, coalesce(s.signature, '') AS primary_issue_signature, concat_ws(',', CASE WHEN e > 0 THEN 'errors' END, CASE WHEN w > 0 THEN 'warnings' END, CASE WHEN rep > 0 THEN 'repeats' END,
+            CASE WHEN p.previous_status = 'interrupted' THEN 'previous_session_interrupted' END, CASE WHEN c.session_id % 3 > 0 THEN 'fallback_voice' END,
+            CASE WHEN c.session_id % 10 / 100e0 >= 0.05 THEN 'pauses' END) AS observations,
+        concat_ws(',', CASE WHEN resp THEN 'high:translation_response_validation' END, CASE WHEN c.session_id % 10 / 100e0 >= 0.05 THEN 'medium:pause_sync_quality' END,
+            CASE WHEN c.session_id % 3 > 0 THEN 'medium:tts_voice_consistency' END, CASE WHEN net THEN CASE WHEN e > 0 THEN 'high' ELSE 'medium' END || ':network_and_tts' END, CASE WHEN ext THEN 'high:ffmpeg_pipeline' END,
+            CASE WHEN fil THEN CASE WHEN e > 0 THEN 'high' ELSE 'medium' END || ':files_and_paths' END, CASE WHEN p.previous_status = 'interrupted' THEN 'medium:recovery' END, CASE WHEN app AND e > 0 THEN 'high:application_code' END) AS candidates,
+        CASE WHEN no_trace + (c.session_id % 4 = 0)::INT = 0 THEN 'low:no_gap_found' ELSE concat_ws(',', CASE WHEN no_trace > 0 THEN 'high:errors_without_traceback' END, CASE WHEN c.session_id % 4 = 0 THEN 'high:artifact_write_errors' END) END AS logging_gaps
+    FROM (SELECT session_id, count(*) FILTER (level = 'error') AS e, count(*) FILTER (level = 'warning') AS w,
+            count(*) FILTER (is_problem) - count(DISTINCT signature) FILTER (is_problem) AS rep,
+            count(*) FILTER (level = 'error' AND NOT has_traceback) AS no_trace,
+            coalesce(bool_or(event = 'translation_provider_response_rejected') FILTER (is_problem), false) AS resp,
+            coalesce(bool_or(coalesce(exc_category, family) IN ('network', 'network_timeout', 'text_to_speech')) FILTER (is_problem), false) AS net,
+            coalesce(bool_or(coalesce(exc_category, family) = 'external_process') FILTER (is_problem), false) AS ext,
+            coalesce(bool_or(coalesce(exc_category, family) = 'file_pipeline') FILTER (is_problem), false) AS fil,
+            coalesce(bool_or(coalesce(exc_category, family) IN ('application', 'runtime')) FILTER (is_problem), false) AS app
+          FROM carry GROUP BY session_id) c JOIN ({PREVIOUS}) p ON p.session_id = c.session_id LEFT JOIN (SELECT session_id, signature FROM ranked WHERE rank = 1) s ON s.session_id = c.session_id
+    WHERE e + w > 0"""))
+def _(spark, sf):
+    """Every rule of the verdict, with pauses, voices and artifacts made from the session's number; sessions with errors or warnings."""
+    events = _diagnosed(spark, sf)
+    pause = _previous(spark, sf).withColumns({
+        "pause_ratio": F.col("session_id") % 10 / 100.0, "fallback_segments": F.col("session_id") % 3, "artifact_errors": (F.col("session_id") % 4 == 0).cast("int")})
+    cards = ev.rank_issue_cards(_cards(spark, sf))
+    out = ev.session_verdict(ev.session_counters(events), ev.diagnostics_quality(events), pause, cards).filter("result <> 'no_problems_detected_yet'")
+    return out.select("session_id", "primary_issue_signature", *[F.array_join(c, ",").alias(c) for c in ("observations", "candidates", "logging_gaps")])
+
+
+@register("session_report", _upto("ranked", r"""
+    SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS issues, string_agg(event || ' x' || occurrences_total, ',' ORDER BY rank) AS told FROM ranked WHERE rank <= 10 GROUP BY session_id"""))
+def _(spark, sf):
+    """The Markdown reports, read back: what the table of issues of each says."""
+    events = _diagnosed(spark, sf)
+    verdict = ev.session_verdict(ev.session_counters(events), ev.diagnostics_quality(events))
+    reports = wr.to_session_report(verdict, ev.rank_issue_cards(_cards(spark, sf)), ev.top_events(v.v_ev(spark, sf)))
+    rows = F.regexp_extract_all("document", F.lit(r"\n\| (\d+ \| [^|]+ \| [^|]+ \| \d+) \|"), F.lit(1))
+    told = F.transform(rows, lambda r: F.concat(F.trim(F.split(r, r"\|")[2]), F.lit(" x"), F.trim(F.split(r, r"\|")[3])))
+    out = reports.select(F.regexp_extract("document", r"^# Session (\S+)", 1).alias("session_id"), told.alias("t")).filter(F.size("t") > 0)
+    return out.select("session_id", F.size("t").cast("bigint").alias("issues"), F.array_join("t", ",").alias("told"))
+
+
 def _with_details(spark, sf):
     """Events with a free-form JSON text built from their columns."""
     rows = v.v_ev(spark, sf)

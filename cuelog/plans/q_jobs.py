@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import jobs as jb
+from ..sources import readers as rd
 from . import views as v
 from .registry import register
 from .views import with_views
@@ -276,3 +277,20 @@ def _(spark, sf):
         F.expr("CASE WHEN session_id % 3 = 0 THEN 5 ELSE 4 END").alias("successful"), F.lit(5).alias("total"))
     out = jb.reconstruct_batches(told.unionByName(ends, allowMissingColumns=True))
     return out.select("session_id", "file_index", "status", "output_path", "elapsed_sec", "last_error", "batch_status")
+
+
+#: Stored state rows: sound ones, and of three kinds of damage.
+_STATES = """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 11 = 0 THEN '{"schema_version": 1, "tasks": [' WHEN o_orderkey % 7 = 0 THEN '[' || o_orderkey || ']'
+        WHEN o_orderkey % 5 = 0 THEN '{"schema_version": ' || o_orderkey % 3 || ', "tasks": []}' WHEN o_orderkey % 3 = 0 THEN '{"schema_version": 1}'
+        ELSE '{"schema_version": 1, "tasks": [' || o_orderkey || ']}' END AS value FROM orders"""
+
+
+@register("split_corrupt", f"""
+    SELECT ord, value, CASE WHEN ord % 11 = 0 OR ord % 7 = 0 THEN 'corrupt' WHEN ord % 5 = 0 AND ord % 3 <> 1 THEN 'unsupported' WHEN ord % 5 <> 0 AND ord % 3 = 0 THEN 'partial' ELSE 'good' END AS label
+    FROM ({_STATES})""")
+def _(spark, sf):
+    """Quarantined rows with their label and raw text, and the rows that go on."""
+    raw = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.expr(_STATES[len("SELECT o_orderkey AS ord, "):-len(" AS value FROM orders")]).alias("value"))
+    state = F.try_parse_json("value")
+    good, kept = rd.split_corrupt(raw, F.try_variant_get(state, "$.tasks", "array<variant>").isNotNull(), F.try_variant_get(state, "$.schema_version", "int"))
+    return good.withColumn("label", F.lit("good")).unionByName(kept).select("ord", "value", "label")

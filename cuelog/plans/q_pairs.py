@@ -354,3 +354,14 @@ def _(spark, sf):
                                       F.col("text").alias("source"), F.lower("text").alias("translated"))
     edits = rv.import_review(rv.export_review(pairs))
     return pr.apply_review(pairs, edits).select("media_id", "seg_index", F.length("translated").alias("text_length"))
+
+
+@register("default_language", """
+    SELECT c_custkey, coalesce(n.n_name, f.n_name) AS label, coalesce(n.n_regionkey, f.n_regionkey) AS code FROM customer
+    LEFT JOIN nation n ON n.n_nationkey = c_nationkey AND n.n_nationkey % 3 > 0 JOIN nation f ON f.n_nationkey = 1""")
+def _(spark, sf):
+    nations = v.table(spark, sf, "nation").filter("n_nationkey % 3 > 0").select(F.col("n_name").alias("label"), F.col("n_regionkey").alias("code"))
+    names = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("label"))
+    requests = v.table(spark, sf, "customer").join(names, "c_nationkey").select("c_custkey", "label")
+    fallback = v.table(spark, sf, "nation").filter("n_nationkey = 1").first().n_name
+    return pr.default_language(nations, requests, fallback).select("c_custkey", "label", "code")
