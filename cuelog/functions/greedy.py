@@ -11,20 +11,60 @@ small entry -> exit table, and one key's chain runs over those tables alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .ordered import ordered_scan, row_number
+from .ordered import Scan, ordered_scan, row_number, running_sum
+
+#: Islands of a key that one task takes together.
+ISLANDS = 4096
+
+
+def island_groups(df: DataFrame, keys: list[str], order: list[str], block: Column, seen: Scan, fresh: Callable[[Column], Column],
+                  rule_columns: list[str], begin: Callable[..., tuple], advance: Callable[..., tuple | None]) -> DataFrame:
+    """Add ``group_start`` (position of the group's first row) and ``position``, for a rule whose groups never cross an island's edge.
+
+    ``fresh(seen)`` tells from one scan over the earlier rows that no group can reach this row from before, whichever row that group
+    began with: here an island begins.  Islands need nothing of each other, so a key is dealt over tasks by its islands,
+    ``ISLANDS`` at a time, and each is worked through once in order: ``begin(*columns)`` gives the state of a group that begins
+    with a row, ``advance(state, *columns)`` the state with one more row, or None if that row begins the next group.  A state is all
+    that is held, so a group of any length costs a step a row.
+    """
+    rows = df.drop("position", "group_start")
+    placed = ordered_scan(rows.withColumn("_span", block), keys, order, "_span", position=row_number(), _seen=seen)
+    edge = F.coalesce((F.col("position") == 1) | fresh(F.col("_seen")), F.lit(True))
+    cut = ordered_scan(placed.withColumn("_fresh", edge).drop("_seen"), keys, order, "_span", _island=running_sum(F.col("_fresh").cast("bigint")))
+    chunk = F.floor(F.col("_island") / ISLANDS).cast("bigint").alias("_chunk")
+    dealt = cut.select("*", chunk).drop("_island", "_span").repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "position")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, start = None, 0
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            values = list(zip(*[column(c).to_pylist() for c in rule_columns], strict=True))
+            edges, positions = column("_fresh").to_pylist(), column("position").to_pylist()
+            starts = []
+            for k, value in enumerate(values):
+                state = None if edges[k] else advance(state, *value)
+                if state is None:
+                    state, start = begin(*value), positions[k]
+                starts.append(start)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=[*batch.schema.names, "group_start"])
+
+    made = dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("group_start", T.LongType())]))
+    return made.select(*rows.columns, "position", "group_start")
 
 
 def greedy_groups(df: DataFrame, keys: list[str], order: list[str], block: Column,
                   rule_columns: list[str], group_end: Callable[..., int],
-                  block_rows: int = 8192, look_ahead: int = 256) -> DataFrame:
+                  block_rows: int = 8192, look_ahead: int = 256, longest: int | None = None) -> DataFrame:
     """Add ``group_start`` (position of the group's first row) and ``position``.
 
     ``group_end(i, n, *columns)`` gets the rule columns as numpy arrays and
@@ -35,13 +75,15 @@ def greedy_groups(df: DataFrame, keys: list[str], order: list[str], block: Colum
     Blocks hold positions and rule columns only; the rows themselves are joined back.
     A block sees ``look_ahead`` rows of those after it.  Where a group reaches
     beyond them, the blocks are built again with eight times as many, so the answer does
-    not depend on either number.
+    not depend on either number.  A rule that never takes more than ``longest`` rows says so: one building is enough then.
+    For rules with natural breaks between rows see :func:`island_groups`.
     """
+    look_ahead = longest or look_ahead
     numbered = ordered_scan(df.drop("position", "group_start"), keys, order, block, position=row_number())
     narrow = numbered.select(*keys, "position", *[c for c in rule_columns if c not in keys])
     while True:
         blocks = cut_lineage(_blocks(narrow, keys, rule_columns, group_end, block_rows, look_ahead))
-        unfinished = blocks.agg(F.max(F.exists("_next", lambda n: n < 0))).first()[0]
+        unfinished = longest is None and blocks.agg(F.max(F.exists("_next", lambda n: n < 0))).first()[0]
         if not unfinished:
             break
         look_ahead *= 8

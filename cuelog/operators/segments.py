@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered as o
-from ..functions.greedy import greedy_groups
+from ..functions.greedy import island_groups
 from ..functions.numbers import round_exact
 from ..functions.text import language_base, looks_like_script, lstrip, rstrip, script_chars, strip, word_normalize
 
@@ -127,17 +127,19 @@ def passthrough(segments: DataFrame, target: str = "ru", pattern: str | None = N
 def merge_short_segments(segments: DataFrame, min_dur: float = 1.2, max_gap: float = 0.38,
                          max_merged: float = 5.8) -> DataFrame:
     """Join a short segment with what follows while the gap and the sum stay small."""
-    def group_end(i, n, start, end):
-        reach, j = end[i], i + 1
-        while j < n and max(0.0, reach - start[i]) < min_dur and max(0.0, start[j] - reach) <= max_gap:
-            further = max(reach, end[j])
-            if further - start[i] > max_merged:
-                break
-            reach, j = further, j + 1
-        return j
+    def begin(start, end):
+        return start, end
+
+    def advance(state, start, end):
+        first, reach = state
+        if max(0.0, reach - first) >= min_dur or max(0.0, start - reach) > max_gap or max(reach, end) - first > max_merged:
+            return None
+        return first, max(reach, end)
 
     rows = segments.select("media_id", "ord", "start", "end", F.coalesce("text", F.lit("")).alias("text"))
-    grouped = greedy_groups(rows, KEY, ORDER, o.every("start", HOUR), ["start", "end"], group_end)
+    # no group reaches a row that lies more than the gap after the end of everything before it
+    grouped = island_groups(rows, KEY, ORDER, o.every("start", HOUR), o.max_before(F.col("end")),
+                            lambda end: F.col("start") - end > max_gap, ["start", "end"], begin, advance)
     pieces = F.array_sort(F.collect_list(F.struct("position", "text")))
     merged = grouped.groupBy("media_id", "group_start").agg(
         F.min_by("ord", "position").alias("ord"), F.min("start").alias("start"), F.max("end").alias("end"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered as o
-from ..functions.greedy import greedy_groups
+from ..functions.greedy import island_groups
 from ..functions.numbers import edge_rate, finite, round_exact
 from ..session import cut_lineage
 from .segments import HOUR, KEY, ORDER, speech_boundaries
@@ -82,13 +82,8 @@ def sanitize_pauses(pauses: DataFrame, media: DataFrame, within: float = 0.020)
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("raw", "ord", "segments"))),
                               lambda p: p["segments"])).alias("segments"))
 
-    def group_end(i, n, pos):
-        j = i + 1
-        while j < n and abs(pos[i] - pos[j]) < within:
-            j += 1
-        return j
-
-    grouped = greedy_groups(spots, KEY, ["pos"], o.every("pos", HOUR), ["pos"], group_end)
+    grouped = island_groups(spots, KEY, ["pos"], o.every("pos", HOUR), o.previous(F.col("pos")), lambda before: F.col("pos") - before >= within,
+                            ["pos"], lambda pos: (pos,), lambda state, pos: state if abs(state[0] - pos) < within else None)
     parts = F.array_sort(F.collect_list(F.struct("position", "segments")))
     return grouped.groupBy("media_id", "group_start").agg(
         F.min("pos").alias("at"), F.sum("duration").alias("duration"),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelog.functions import ordered as o
-from cuelog.functions.greedy import greedy_groups
+from cuelog.functions.greedy import greedy_groups, island_groups
 from cuelog.operators import pairs as pr
 from cuelog.operators import segments as sg
 from cuelog.operators import timeline as tl
@@ -133,3 +133,37 @@ def test_circuit_pause_sum(spark):
     raw = [.05 + i * .001 for i in range(40)]
     frames = sum(int(d * 25 + .5) for d in raw)
     assert got == {1: (round(frames / 25, 9), frames), 2: (round(sum(raw), 9), None)}
+
+
+def _island_frame(spark, rows):
+    frame = spark.createDataFrame(rows, "k string, s double, e double, t string")
+    begin, advance = lambda s, e: (s, e), lambda state, s, e: None if s - state[1] > 1.0 or e - state[0] > 9.0 else (state[0], max(state[1], e))
+    return island_groups(frame, ["k"], ["s", "e", "t"], o.every("s", 50), o.max_before(F.col("e")), lambda end: F.col("s") - end > 1.0, ["s", "e"], begin, advance)
+
+
+def test_islands_against_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), round(s, 2), round(s + rng.choice([0.1, 0.5, 2, 30]), 2), f"t{i}") for i, s in enumerate(rng.uniform(0, 900) for _ in range(700))]
+    want = {}
+    for k in "ab":
+        first = reach = start = None
+        for position, (_, s, e, t) in enumerate(sorted(r for r in rows if r[0] == k), 1):
+            if first is None or s - reach > 1.0 or e - first > 9.0:
+                first, reach, start = s, e, position
+            reach = max(reach, e)
+            want[t] = (position, start)
+    got = _island_frame(spark, rows)
+    assert got.columns == ["k", "s", "e", "t", "position", "group_start"]
+    assert {r.t: (r.position, r.group_start) for r in got.collect()} == want
+    assert _island_frame(spark, []).collect() == []
+
+
+def test_a_long_group_is_one_pass(spark):
+    """A group of 300,000 rows: no job while the plan is built, one step a row when it runs."""
+    n = 300_000
+    frame = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") / n).alias("pos"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    made = island_groups(frame, ["k"], ["pos"], o.every("pos", 0.1), o.previous(F.col("pos")), lambda b: F.col("pos") - b >= 5, ["pos"],
+                         lambda pos: (pos,), lambda state, pos: state if pos - state[0] < 5 else None)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert made.groupBy("group_start").count().collect() == [(1, n)]
