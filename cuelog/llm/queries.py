@@ -125,7 +125,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@_query()
+@_query(_twins.groups_sql(4, 85))
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingles are 85 in 100 the same."""
     return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -157,7 +157,7 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@_query()
+@_query(_twins.repair_sql())
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every damaged conversation."""
     rows = _table(spark, sf_dir, "conversations")

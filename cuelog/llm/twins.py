@@ -88,3 +88,49 @@ h(rid, tree, level, pos, node, proof) AS (SELECT g.rid, '', 0, s.pos, g.node, g.
 e AS (SELECT rid, max_by(node, level) AS folded_root, max_by(proof, level) AS proof FROM h GROUP BY rid)
 SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM u WHERE n = 1) AS verified
 FROM d JOIN s ON s.name = d.tree JOIN e USING (rid)"""
+
+
+def groups_sql(words: int, percent: int) -> str:
+    """All pairs with a common run of words, and what they reach."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({lowered}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - {words - 2}, 2) END), lambda i: md5_number(array_to_string(ws[i:i + {words - 1}], ' ')))) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = w.doc_id"""
+
+
+def repair_sql() -> str:
+    """A conversation's rows one after the other: for each of four states the cheapest, then least edits so far."""
+    user, reply = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    ways = ", ".join(f"({s}, {n}, {via}, {text})" for s, n, via, text in [
+        (0, 0, 0, "''"), (0, 1, 2, user), (0, 2, 3, f"{user} || {reply}"), (1, 0, 1, "''"), (1, 1, 2, user), (1, 2, 3, f"{user} || {reply}"),
+        (2, 0, 2, "''"), (2, 1, 3, reply), (2, 2, 2, f"{reply} || {user}"), (3, 0, 3, "''"), (3, 1, 2, user), (3, 2, 3, f"{user} || {reply}")])
+    edits = ", ".join([f"({s}, 'D', NULL, {s}, 4, NULL)" for s in range(4)] + [f"({s}, 'R', NULL, {t}, 3, '{r}')" for s, t, r in [(0, 2, "user"), (1, 2, "user"), (2, 3, "assistant"), (3, 2, "user")]]
+                      + [f"({s}, 'K', '{i}', {t}, 0, NULL)" for s, i, t in [(0, "s", 1), (0, "u", 2), (1, "u", 2), (2, "a", 3), (3, "u", 2)]])
+    checksum = crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, coalesce(':' || conv_id, '') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {checksum} % 20 AS k FROM conversations),
+d AS (SELECT key, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE k <> 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(text)) AS p, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM d),
+f AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(role[1]) OVER (PARTITION BY key ORDER BY p) || role[1] AS pair FROM (SELECT *, row_number() OVER (PARTITION BY key, role, text ORDER BY p) AS seen FROM q)),
+w(s, n, via, made) AS (VALUES {ways}), e(via, letter, initial, state, price, name) AS (VALUES {edits}),
+v(key, p, s, b) AS (SELECT DISTINCT key, 0::BIGINT, 0, {{'c': 0::BIGINT, 'a': '', 't': ''}} FROM f
+    UNION ALL SELECT v.key, v.p + 1, e.state, min({{'c': v.b.c + 3 * w.n + e.price + CASE WHEN e.letter <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END, 'a': v.b.a || repeat('I', w.n) || e.letter,
+        't': v.b.t || w.made || CASE e.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || e.name || ':' || f.text END}})
+    FROM v JOIN f ON f.key = v.key AND f.p = v.p + 1 JOIN w ON w.s = v.s JOIN e ON e.via = w.via AND (e.initial IS NULL OR e.initial = f.role[1])
+    WHERE e.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate') GROUP BY v.key, v.p, e.state),
+g AS (SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key),
+t AS (SELECT v.key, min({{'c': v.b.c + CASE v.s WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'a': v.b.a || CASE v.s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+        't': v.b.t || CASE v.s WHEN 1 THEN {user} || {reply} WHEN 2 THEN {reply} ELSE '' END}}) AS b FROM v JOIN g ON g.key = v.key AND g.n = v.p GROUP BY v.key)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(t.b.c, 0) AS cost, coalesce(t.b.a, '') AS audit, sha256(coalesce(t.b.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM o) i LEFT JOIN g USING (key) LEFT JOIN t USING (key)"""
