@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import append_columns
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, as in the SQL filter of the training rows: digits, fractions and Roman numerals are none.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the training sample and the coder's settings."""
-    sample_docs: int = 400         # documents of a language in the sample, about
+    sample_docs: int = 400         # documents of a language in the sample, at most
     dictionary_bytes: int = 48 << 10  # of a language's raw-content dictionary, at most
     slice_chars: int = 2000        # of one document in the sample, at most
     block_chars: int = 2000        # a text is coded in blocks of so many characters
@@ -34,19 +35,21 @@ def letters(text: str) -> str:
 def train(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """Language -> dictionary content, from ``doc_id``, ``text`` and ``lang``.
 
-    A bounded sample: of every language about ``sample_docs`` documents with the smallest
-    hashes of their ids, ``slice_chars`` of each, ``dictionary_bytes`` in all.  Counts of all
-    labelled documents, one row a language, decide the share; the choice does not depend
-    on partitions.  Rows with a null language or text, or without letters, teach nothing.
+    A bounded sample: of every language the ``sample_docs`` different rows with the smallest hashes of id and text,
+    ``slice_chars`` of each, ``dictionary_bytes`` in all.  Repeated rows count once, and null ids are ids
+    like others.  A threshold from the number of different rows keeps most rows out of the shuffle; the choice does
+    not depend on partitions.  Rows with a null language or text, or without letters, teach nothing.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
     span = float(1 << 63)
-    share = {lang: min(1.0, settings.sample_docs / n) for lang, n in counts.items()}
+    share = {lang: min(1.0, 2 * settings.sample_docs / n) for lang, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for lang, p in share.items() for x in (lang, min((1 << 63) - 1, int((2 * p - 1) * span)))])
-    rows = usable.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, settings.slice_chars).alias("text")).collect()
+    near = usable.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, settings.slice_chars).alias("text")).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = near.withColumn("_n", place).filter(F.col("_n") <= settings.sample_docs).drop("_n").collect()
     counted: dict[str, Counter] = {lang: Counter() for lang in counts}
     for row in rows:
         counted[row.lang].update(letters(row.text).split())

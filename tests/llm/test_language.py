@@ -41,3 +41,13 @@ def test_matches_plain_coding(spark):
     assert {r.lang_pred for r in identify(docs, {}).collect()} == {"und"}
     assert train(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
     assert identify(docs.limit(0), content).count() == 0
+
+
+def test_letters_and_repeated_rows(spark):
+    """Fractions and Roman numerals are no letters; one row a million times is one row of the sample."""
+    from cuelog.llm.language import Settings, identify, train
+    rows = [(1, "the same row of words", "en")] * 3000 + [(None, f"other words number {'abcdefghij'[k]}", "en") for k in range(10)] + [(k, f"mots divers {'abcdefghij'[k]} et autres", "fr") for k in range(10)]
+    learned = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Settings(sample_docs=20))
+    assert b"other" in learned["en"] and b"same" in learned["en"] and b"divers" in learned["fr"]
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ 3"), (2, "½ words"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in identify(odd, learned).collect()} == {1: "und", 2: "en", 3: "und"}

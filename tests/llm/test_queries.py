@@ -29,7 +29,7 @@ def test_names():
 
 def test_sql_twins(spark):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in SQL.items():
         want = con.execute(sql)
