@@ -80,7 +80,7 @@ def _(spark, sf):
 @register("windowed_failures_stream", with_views("""
     SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, service, failures FROM (
         SELECT time_bucket(INTERVAL '6 hours', ts) AS w, service, count(*) AS failures FROM v_req WHERE kind = 'failure' GROUP BY ALL)
-    WHERE w + INTERVAL '6 hours' <= (SELECT max(ts) FROM v_req) - INTERVAL '1 hour'""", "v_req"))
+    WHERE w + INTERVAL '6 hours' <= (SELECT max(ts) FROM v_req WHERE kind = 'failure') - INTERVAL '1 hour'""", "v_req"))
 def _(spark, sf):
     """Windows that the watermark has closed."""
     out = lv.drain(lv.windowed_failures(_requests(_event_stream(spark, sf)), "6 hours", "1 hour"))
@@ -104,7 +104,7 @@ def _(spark, sf):
     return _stretches(lv.failure_sessions(v.v_req(spark, sf), "2 hours"))
 
 
-@register("failure_sessions_stream", with_views(STRETCH_COLUMNS + " WHERE b <= (SELECT max(ts) FROM v_req) - INTERVAL '1 hour'", "v_req", stretches=STRETCHES))
+@register("failure_sessions_stream", with_views(STRETCH_COLUMNS + " WHERE b <= (SELECT max(ts) FROM v_req WHERE kind = 'failure') - INTERVAL '1 hour'", "v_req", stretches=STRETCHES))
 def _(spark, sf):
     """Stretches that the watermark has closed."""
     return _stretches(lv.drain(lv.failure_sessions(_requests(_event_stream(spark, sf)), "2 hours", "1 hour")))

@@ -62,8 +62,8 @@ def voice_status(events: DataFrame) -> DataFrame:
 def windowed_failures(calls: DataFrame, window: str = "10 minutes", watermark: str | None = "1 hour") -> DataFrame:
     """Failures per service and time window; rows later than the watermark are dropped on a stream.
 
-    Input: service, ts, kind.  Counting starts on the map side, so one busy
-    service costs no more than its windows.
+    Input: service, ts, kind.  The watermark follows the failures, the rows that are counted.  Counting
+    starts on the map side, so one busy service costs no more than its windows.
     """
     rows = calls.withWatermark("ts", watermark) if calls.isStreaming and watermark else calls
     return (rows.filter("kind = 'failure'").groupBy(F.window("ts", window).alias("w"), "service")
