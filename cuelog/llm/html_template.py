@@ -33,6 +33,11 @@ _OTHER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising ad
 #: Names of articles beside or inside the page's own.
 _OTHER_ARTICLES = _OTHER_NAMES | frozenset("teaser teasers card cards".split())
 _NOT_OTHER = frozenset("has with no without content main article layout wrapper container".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a layout is made of.
+_CONTAINER = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(script|style|noscript|template|textarea|title|iframe|svg|math)\b.*?(?:</\1\s*>|\Z)"
+                        r"|<(/?)(body|div|section|main|article|nav|aside|header|footer|form|dialog)(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+_LAYOUT_DEPTH = 3
 
 
 @dataclass
@@ -44,6 +49,7 @@ class Block:
     linked: int               # characters inside links
     article: bool
     main: bool
+    heading: bool
 
 
 @dataclass
@@ -51,6 +57,19 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     tags: dict[int, int] = field(default_factory=lambda: defaultdict(int))  # path -> times opened
     depth: dict[int, int] = field(default_factory=dict)
+    rank: dict[int, int] = field(default_factory=dict)  # path -> 2: an outermost article, 1: main, 0: others
+    headings: set[int] = field(default_factory=set)
+
+    def contents(self) -> dict[int, tuple[int, int]]:
+        """path -> (hash of all text inside its elements, characters), for paths with text that are no headings."""
+        chains: dict[int, list] = {}
+        for block in self.blocks:
+            said = xxhash.xxh64_intdigest(block.text)
+            for path in set(block.above):
+                chain = chains.setdefault(path, [path, 0])
+                chain.append(said)
+                chain[1] += len(block.text)
+        return {path: (_hash(path, *chain[2:]), chain[1]) for path, chain in chains.items() if path not in self.headings}
 
 
 def _hash(*parts) -> int:
@@ -66,6 +85,11 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return set(re.findall("[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", joined).lower()))
 
 
+def _path(above: int, tag: str, attributes: dict[str, str]) -> int:
+    """An element with all it stands in; long numbers in a class are a page's own."""
+    return _hash(above, tag, re.sub("[0-9]{3,}", "#", attributes.get("class", "")), re.sub("[0-9]+", "#", attributes.get("id", "")))
+
+
 def _is_other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element holds something else than the article."""
     if tag in _OTHER_TAGS or (tag == "header" and not in_article):
@@ -82,6 +106,32 @@ def _is_other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(names & _OTHER_NAMES) and not names & _NOT_OTHER or ("header" in names and not in_article and not names & _NOT_OTHER)
 
 
+def layout_of(source: str | None) -> int:
+    """Hash of a page's outer containers, without those of menus, notices and the like, which come and go, and without what articles hold."""
+    stack: list[tuple[str, int, bool]] = []  # tag, path, closed to the layout
+    seen: set[int] = set()
+    for m in _CONTAINER.finditer(source or ""):
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if m[2]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    del stack[k:]
+                    break
+            continue
+        if (m[4] or "").endswith("/"):
+            continue
+        _, above, closed = stack[-1] if stack else ("", 0, False)
+        attributes = _attributes(m[4])
+        path = _path(above, tag, attributes)
+        closed = closed or len(stack) > _LAYOUT_DEPTH or _is_other(tag, attributes, False)
+        if not closed:
+            seen.add(path)
+        stack.append((tag, path, closed or tag == "article"))
+    return _hash("layout", *sorted(seen))
+
+
 def read_page(source: str | None, trusted: bool = False) -> Page:
     """The blocks of a page's text outside menus, notices and the like, and its tags by path.
 
@@ -100,7 +150,7 @@ def read_page(source: str | None, trusted: bool = False) -> Page:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole and not (stack and stack[-1][2]):
                 above = tuple(e[1] for e in stack)
-                page.blocks.append(Block(above[-1] if above else 0, above, whole, linked, bool(stack) and stack[-1][3], bool(stack) and stack[-1][4]))
+                page.blocks.append(Block(above[-1] if above else 0, above, whole, linked, bool(stack) and stack[-1][3], bool(stack) and stack[-1][4], bool(stack) and stack[-1][0] in _HEADINGS))
             text.clear()
         linked = 0
 
@@ -135,118 +185,146 @@ def read_page(source: str | None, trusted: bool = False) -> Page:
         links = 0
         attributes = _attributes(m[4])
         _, above, other, article, main = stack[-1] if stack else ("", 0, False, False, False)
-        path = _hash(above, tag, attributes.get("class", ""), re.sub("[0-9]+", "#", attributes.get("id", "")))
+        path = _path(above, tag, attributes)
         page.tags[path] += 1
         page.depth[path] = len(stack)
+        if tag in _HEADINGS:
+            page.headings.add(path)
         if tag not in _VOID and not (m[4] or "").endswith("/"):
             outermost = tag == "article" and not article
+            inmain = tag == "main" or attributes.get("role", "").lower() == "main"
+            page.rank[path] = 2 if outermost else int(inmain)
             article = article or tag == "article" or "articlebody" in attributes.get("class", "").lower()
             aside = _is_other(tag, attributes, article)
             doubted = doubted or (outermost and aside and not other)
-            stack.append((tag, path, other or (aside and not (trusted and outermost)), article, main or tag == "main" or attributes.get("role", "").lower() == "main"))
+            stack.append((tag, path, other or (aside and not (trusted and outermost)), article, main or inmain))
     end_block()
     if doubted and not trusted and not any(b.article for b in page.blocks):
         return read_page(source, True)
     return page
 
 
-STATS = "host string, kind string, token long, depth int, pages long, times long, vector_a long, vector_b long, chars long"
+STATS = "host string, layout long, kind string, token long, path long, depth int, rank int, pages long, times long, vector_a long, vector_b long, chars long"
+#: The layout that stands for all pages of a host.
+_WHOLE_HOST = 0
 
 
 def _count(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Partial sums of every host's tokens over a batch of pages."""
+    """Partial sums of the tokens of every host, and of every layout of it, over a batch of pages."""
     for batch in batches:
         sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
-        for ident, host, source in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page", "host", "html")), strict=True):
+        for ident, host, layout, source in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page", "host", "layout", "html")), strict=True):
             page = read_page(source)
-            chars: dict[int, int] = defaultdict(int)
-            words: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-            for block in page.blocks:
-                for path in set(block.above):
-                    chars[path] += len(block.text)
-                said = words[_hash(block.path, block.text)]
-                said[0] += 1
-                said[1] += len(block.text)
-            rows = [("tag", token, page.depth[token], times, chars[token]) for token, times in page.tags.items()]
-            rows += [("text", token, 0, times, size) for token, (times, size) in words.items()]
-            rows.append(("host", 0, 0, 1, sum(len(b.text) for b in page.blocks)))
-            for kind, token, depth, times, size in rows:
+            contents = page.contents()
+            rows = [("tag", path, path, page.depth[path], page.rank.get(path, 0), times, contents.get(path, (0, 0))[1]) for path, times in page.tags.items()]
+            rows += [("text", token, path, 0, 0, page.tags[path], size) for path, (token, size) in contents.items()]
+            rows.append(("page", 0, 0, 0, 0, 1, sum(len(b.text) for b in page.blocks)))
+            for *key, times, size in rows:
                 part = _hash(ident, times)
-                total = sums[host, kind, token, depth]
-                for k, value in enumerate((1, times, part & 0x7FFFFFFF, (part >> 31) & 0x7FFFFFFF, size)):
-                    total[k] += value
+                for of in (layout, _WHOLE_HOST):
+                    total = sums[host, of, *key]
+                    for k, value in enumerate((1, times, part & 0x7FFFFFFF, (part >> 31) & 0x7FFFFFFF, size)):
+                        total[k] += value
         if sums:
             columns = list(zip(*((*key, *values) for key, values in sums.items()), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names)
 
 
 def deduce_templates(pages: DataFrame, least_pages: int = 4, share: float = 0.6) -> DataFrame:
-    """(host, root, said): a template for every host with ``least_pages`` pages.  ``pages``: ``page``, ``host``, ``html``.
-
-    A token is a tag with the path of elements that it stands in, or a block of text with its
-    path.  Its occurrence vector, times on every page of the host, is kept as sums of hashes of
-    (page, times), so tokens with equal sums form an equivalence class, and no host's
-    pages need to meet.  A class is valid if it is on a ``share`` of the pages and has a tag
-    among its tokens.  The template nests: its inmost tag that is once on each of its pages and
-    still holds nearly all text is the ``root`` of the article's slot; text blocks in valid
-    classes are what the template says itself (``said``).  If that were more than half of all
-    text, the pages are copies rather than a template's, and nothing is taken for said.
+    """(host, layout, root, said): a template for every layout, and every host (layout 0), with ``least_pages`` pages.
+
+    ``pages``: ``page``, ``host``, ``layout``, ``html``.  Tokens are tags with the path of
+    elements that they stand in, and the whole text of the elements of one path.  A token's
+    occurrence vector, times on every page, is kept as sums of hashes of (page, times), so
+    tokens with equal sums form an equivalence class, and no host's pages need to meet.  A class
+    is valid if it is on a ``share`` of the pages and has a tag among its tokens.  Valid
+    classes nest into the template, and tags that are once on each of their pages and hold nearly
+    all text are its candidate slots: the ``root`` is the outermost ``article`` among them, else
+    ``main``, else the inmost.  Elements whose text shares the class of their own tag say
+    the same wherever they stand (``said``); that is the template's text.  If one of them holds more
+    than half of all text, the pages are copies rather than a template's, and nothing is taken for said.
     """
     schema = schema_of(STATS)
     arrow = to_arrow_schema(schema)
-    counted = pages.mapInArrow(lambda batches: _count(batches, arrow), schema).groupBy("host", "kind", "token", "depth").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "times", "vector_a", "vector_b", "chars")])
-    counted = cut_lineage(counted.filter((F.col("kind") == "host") | (F.col("pages") >= least_pages)))
-    hosts = counted.filter((F.col("kind") == "host") & (F.col("pages") >= least_pages)).select("host", F.col("pages").alias("_pages"), F.col("chars").alias("_chars"))
-    frequent = counted.filter("kind <> 'host'").join(hosts, "host").filter(F.col("pages") >= share * F.col("_pages"))
-    classes = frequent.groupBy("host", "vector_a", "vector_b", "pages", "times").agg(
-        F.first("_chars").alias("_chars"), F.count_if(F.col("kind") == "tag").alias("tags"),
-        F.max(F.when((F.col("kind") == "tag") & (F.col("times") == F.col("pages")) & (F.col("chars") >= 0.8 * F.col("_chars")), F.struct("depth", "token"))).alias("root"),
-        F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("said"), F.sum(F.when(F.col("kind") == "text", F.col("chars")).otherwise(0)).alias("said_chars"))
-    valid = classes.filter("tags > 0")
-    return cut_lineage(valid.groupBy("host").agg(
+    place = ["host", "layout"]
+    counted = pages.mapInArrow(lambda batches: _count(batches, arrow), schema).groupBy(*place, "kind", "token", "path", "depth").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "times", "vector_a", "vector_b", "chars")], F.max("rank").alias("rank"))
+    counted = cut_lineage(counted.filter(F.col("pages") >= least_pages))
+    sizes = counted.filter("kind = 'page'").select(*place, F.col("pages").alias("_pages"), F.col("chars").alias("_chars"))
+    frequent = counted.filter("kind <> 'page'").join(sizes, place).filter(F.col("pages") >= share * F.col("_pages"))
+    tag = F.col("kind") == "tag"
+    classes = frequent.groupBy(*place, "vector_a", "vector_b", "pages", "times").agg(
+        F.first("_chars").alias("_chars"), F.collect_set(F.when(tag, F.col("token"))).alias("tags"),
+        F.max(F.when(tag & (F.col("times") == F.col("pages")) & (F.col("chars") >= 0.8 * F.col("_chars")), F.struct("rank", "depth", "token"))).alias("root"),
+        F.collect_list(F.when(~tag, F.struct("path", "token", "chars"))).alias("texts"))
+    valid = classes.filter(F.size("tags") > 0).withColumn("own", F.filter("texts", lambda t: F.array_contains("tags", t["path"])))
+    none = F.array().cast("array<long>")
+    return cut_lineage(valid.groupBy(*place).agg(
         F.max("root").getField("token").alias("root"),
-        F.when(F.sum("said_chars") <= 0.5 * F.first("_chars"), F.flatten(F.collect_list("said"))).otherwise(F.array().cast("array<long>")).alias("said")))
+        F.when(F.coalesce(F.max(F.array_max(F.col("own.chars"))), F.lit(0)) <= 0.5 * F.first("_chars"), F.flatten(F.collect_list("own.token"))).otherwise(none).alias("said")))
 
 
 def article(page: Page, root: int | None, said: frozenset[int]) -> list[str]:
-    """The article's blocks, in page order; inside an ``article`` element nothing is taken for the template's."""
-    own = [b.text for b in page.blocks if b.article]
-    if own:
-        return own
-    free = [b for b in page.blocks if _hash(b.path, b.text) not in said]
-    for inside in (lambda b: b.main, lambda b: root in b.above):
-        slot = [b.text for b in free if inside(b)]
-        if slot:
-            return slot
+    """The article's blocks, in page order.
+
+    The slot is what stands in ``root``, with the headings right before it; if the root is wider than
+    the page's ``article`` elements, these are taken of it.  Pages without the root, or without
+    a template, go by their tags alone.
+    """
+    own = {path for path, (token, _) in page.contents().items() if token in said} if said else set()
+    free = [b for b in page.blocks if own.isdisjoint(b.above)]
+    slot = [k for k, b in enumerate(free) if root in b.above]
+    if slot:
+        inside = [free[k].text for k in slot if free[k].article]
+        if inside:
+            return inside
+        first = slot[0]
+        while first and free[first - 1].heading:
+            first -= 1
+        return [b.text for b in free[first:slot[0]]] + [free[k].text for k in slot]
+    for inside in (lambda b: b.article, lambda b: b.main):
+        texts = [b.text for b in free if inside(b)]
+        if texts:
+            return texts
     return [b.text for b in free if b.linked <= 0.6 * len(b.text)]
 
 
 def extract_text(pages: DataFrame, **deduction) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row of ``pages`` (``page_id``, ``url``, ``html``).
 
-    The text of the article alone: what stands in the template's slot for it, without
-    what the template says on its own outside an ``article`` element, and without menus, headers, footers, sidebars,
-    notices, adverts, forms, scripts, styles and comments.  The slot is the ``article`` element,
-    else ``main``, else the root of the host's template, else the page without link lists.
+    The text of the article alone: what stands in the slot that the template of the page's
+    layout has for it, without the text of the template's own elements inside, and without menus, headers,
+    footers, sidebars, notices, adverts, forms, scripts, styles and comments.  A page whose
+    layout is on too few pages goes by the template of its whole host; where that has too few pages
+    too, or the page lacks the slot, the slot is the ``article`` element, else ``main``, else the page
+    without link lists.  A sentence that stands among an article's other paragraphs stays however often
+    it is repeated; an element of its own that says the same on all pages that have it goes, unless it is a heading.
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined by two line feeds.  Null html, a cut-off page or broken tags are read as far as
     they go; a null url is a host of its own.  Repeated pages count once for each row.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     base = pages.select("page_id", "url", "html", host.alias("host"))
-    templates = deduce_templates(base.select(F.xxhash64("page_id", "url").alias("page"), "host", "html"), **deduction)
+
+    def layouts():
+        return lambda batch: [[layout_of(source) for source in batch.column(batch.schema.get_field_index("html")).to_pylist()]]
+
+    base = append_columns(base, layouts, "layout long")
+    templates = deduce_templates(base.select(F.xxhash64("page_id", "url").alias("page"), "host", "layout", "html"), **deduction)
+    whole = templates.filter(F.col("layout") == _WHOLE_HOST).select("host", F.col("root").alias("host_root"), F.col("said").alias("host_said"), F.lit(True).alias("host_known"))
+    joined = base.join(templates.withColumn("known", F.lit(True)), ["host", "layout"], "left").join(whole, "host", "left")
+    chosen = [F.when(F.col("known"), F.col(c)).otherwise(F.col(f"host_{c}")).alias(c) for c in ("root", "said")]
 
     def make():
         def work(batch):
             column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            known: dict[str, frozenset[int]] = {}
+            known: dict[tuple, frozenset[int]] = {}
             out = []
-            for place, source, root, said in zip(column("host"), column("html"), column("root"), column("said"), strict=True):
-                if place not in known:
-                    known[place] = frozenset(said or ())
-                out.append("\n\n".join(article(read_page(source), root, known[place])))
+            for place, layout, source, root, said in zip(*map(column, ("host", "layout", "html", "root", "said")), strict=True):
+                if (place, layout) not in known:
+                    known[place, layout] = frozenset(said or ())
+                out.append("\n\n".join(article(read_page(source), root, known[place, layout])))
             return [out, [len(t) for t in out]]
         return work
 
-    return append_columns(base.join(templates, "host", "left"), make, "text string, n_chars long").select("page_id", "url", "text", "n_chars")
+    return append_columns(joined.select("page_id", "url", "html", "host", "layout", *chosen), make, "text string, n_chars long").select("page_id", "url", "text", "n_chars")

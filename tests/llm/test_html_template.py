@@ -1,6 +1,6 @@
 import re
 
-from cuelog.llm.html_template import extract_text, read_page
+from cuelog.llm.html_template import extract_text, layout_of, read_page
 from cuelog.llm.queries import op3_html_extraction
 
 SF = "/root/testdata/sf0.01"
@@ -61,6 +61,44 @@ def test_same_passage_in_every_article_of_a_host(spark):
         assert r.text.split("\n\n") == ["Report", f"body {r.page_id} of the page {'word ' * (20 + r.page_id)}".strip(), "Licensed to all"]
 
 
+def _extracted(spark, sources, host="n.example"):
+    df = spark.createDataFrame([(k, f"https://{host}/{k}", s) for k, s in enumerate(sources)], "page_id long, url string, html string")
+    return {r.page_id: r.text.split("\n\n") for r in extract_text(df).collect()}
+
+
+def _prose(k, n=30):
+    return " ".join(f"word{(k * 37 + i * i) % 101}" for i in range(n + k))
+
+
+def test_layouts_of_one_host(spark):
+    """Pages without an article element, in two layouts: each has a slot of its own, deduced."""
+    post = lambda k: f"<body><div class=bar>Site {k}</div><div class=post><h1>Title {k}</h1><div class=txt><p>{_prose(k)}</p><p>end {k}</p></div></div><div class=more><p>other {k}</p></div>{'<div class=ad>A</div>' * (k % 2)}</body>"
+    item = lambda k: f"<body><section class=shop><div class=price>{k} coins</div><div class=story><p>{_prose(k, 40)}</p></div></section></body>"
+    assert layout_of(post(1)) == layout_of(post(2)) != layout_of(item(1)) == layout_of(item(2) + "<footer>f") and layout_of(None) == layout_of("")
+    got = _extracted(spark, [post(k) if k % 3 else item(k) for k in range(18)])
+    for k in range(18):
+        assert got[k] == ([f"Title {k}", _prose(k), f"end {k}"] if k % 3 else [_prose(k, 40)])
+
+
+def test_notices_inside_the_article(spark):
+    """An element that says the same on all its pages goes, title and repeated sentences stay."""
+    box = "<div class=x1><h3>Dear reader</h3><p>Tell your friends.</p></div>"
+    page = lambda k: (f"<article><h1>Weekly report</h1>{box if k % 4 else ''}<p>{_prose(k)}</p><p>Licensed to all</p><h2>Sources</h2><ul>{f'<li>s{k}' * 2}</ul><div>All rights of this site reserved</div></article>")
+    got = _extracted(spark, [page(k) for k in range(12)])
+    for k in range(12):
+        assert got[k] == ["Weekly report", _prose(k), "Licensed to all", "Sources", f"s{k}", f"s{k}"]
+
+
+def test_copies_are_no_template(spark):
+    page = f"<body><div class=a><h1>T</h1><div class=txt><p>{_prose(3)}</p></div></div><div class=b>and b</div></body>"
+    copies = _extracted(spark, [page] * 6)
+    assert all(t[:2] == ["T", _prose(3)] for t in copies.values())
+    # six copies of one article on a host with others: its paragraphs are no template either
+    own = lambda k: f"<article><h1>T{k}</h1><p>{_prose(k)}</p></article>"
+    mixed = _extracted(spark, [own(3)] * 6 + [own(k) for k in range(4, 7)])
+    assert all(mixed[k] == ["T3", _prose(3)] for k in range(6)) and mixed[7] == ["T5", _prose(5)]
+
+
 def test_whole_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     import html
