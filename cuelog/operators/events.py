@@ -143,17 +143,60 @@ def event_counters(events: DataFrame, by: str) -> DataFrame:
     return events.groupBy("session_id", key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def carry_context(events: DataFrame) -> DataFrame:
-    """Latest known stage and input path on every event; a closed session's stage is 'closed'."""
+def carry_context(events: DataFrame, block: str | None = None) -> DataFrame:
+    """Latest known stage and input path on every event; a closed session's stage is 'closed'.
+
+    ``block``: a column that cuts the sequence into blocks, kept in the result.
+    """
     stage = F.when(F.col("event") == "app_session_finished", "closed").otherwise(F.nullif("stage", F.lit("")))
-    carried = o.ordered_scan(events, SESSION, ["sequence"], o.every("sequence", BLOCK_ROWS),
+    carried = o.ordered_scan(events, SESSION, ["sequence"], block or o.every("sequence", BLOCK_ROWS),
                              stage_cf=o.last_known(stage), input_path_cf=o.last_known(F.nullif("input_path", F.lit(""))))
     return carried.withColumn("stage_cf", F.coalesce("stage_cf", F.lit("startup")))
 
 
-def diagnostics_quality(events: DataFrame) -> DataFrame:
-    """Log-quality counts per session, from diagnosed events."""
-    seen = carry_context(sample_repeats(events))
+#: What a session's latest problems are after some events: the signatures seen last, newest at the end; how many came back
+#: after they had left that list; and, for events in the middle of a session, the first ones of each signature
+#: as long as the list is not full: whether those came back depends on the events before.
+_LATEST = "named_struct('recent', cast(array() AS array<string>), 'gone', 0L, 'open', cast(array() AS array<struct<signature:string,again:boolean>>))"
+
+
+def _seen_last(before: str, item: str, n: int) -> str:
+    """``before`` with ``item`` moved or added to its end, and not longer than ``n``."""
+    moved = f"array_append(array_remove({before}, {item}), {item})"
+    return f"slice({moved}, greatest(size({moved}) - {n - 1}, 1), {n})"
+
+
+def _latest_of_block(rows: str, n: int) -> Column:
+    """Sum up the problems of one block, an array of (sequence, signature, again)."""
+    new, full = "NOT array_contains(a.recent, r.signature)", f"size(a.recent) >= {n}"
+    return F.expr(f"""aggregate(array_sort({rows}), {_LATEST}, (a, r) -> named_struct(
+        'recent', {_seen_last('a.recent', 'r.signature', n)},
+        'gone', a.gone + if(r.again AND {full} AND {new}, 1L, 0L),
+        'open', if({new} AND NOT {full}, array_append(a.open, named_struct('signature', r.signature, 'again', r.again)), a.open)))""")
+
+
+def _gone_in_session(blocks: str, n: int) -> Column:
+    """How many problems of a session came back after they had left the ``n`` seen last, from its blocks, (block, latest).
+
+    Replaying a block's open events tells which of them the list of the blocks before still holds;
+    then the block's own list goes over it.
+    """
+    start = "named_struct('recent', cast(array() AS array<string>), 'gone', 0L)"
+    replay = f"""aggregate(b.latest.open, s, (t, r) -> named_struct('recent', {_seen_last('t.recent', 'r.signature', n)},
+        'gone', t.gone + if(r.again AND NOT array_contains(t.recent, r.signature), 1L, 0L)))"""
+    after = f"""aggregate(b.latest.recent, {replay}, (t, x) -> named_struct('recent', {_seen_last('t.recent', 'x', n)}, 'gone', t.gone),
+        t -> named_struct('recent', t.recent, 'gone', t.gone + b.latest.gone))"""
+    return F.expr(f"aggregate(array_sort({blocks}), {start}, (s, b) -> {after}, s -> s.gone)")
+
+
+def diagnostics_quality(events: DataFrame, recent: int = 20) -> DataFrame:
+    """Log-quality counts per session, from diagnosed events.
+
+    Counted by blocks of a session, then by session.  A block's list of the ``recent`` problems seen last is a summary of
+    bounded size, so ``problem_signatures_outside_recent_window`` (problems that came back after
+    so many others that they had left that list) needs no window over a whole session.
+    """
+    seen = carry_context(sample_repeats(events).withColumn("_part", o.every("sequence", BLOCK_ROWS)), "_part")
     bad, error = F.col("is_problem"), F.col("level") == "error"
     stage, path = F.coalesce(F.nullif("stage", F.lit("")), "stage_cf") != "", F.col("input_path_cf").isNotNull()
     trace = F.coalesce("has_traceback", F.lit(False))
@@ -165,11 +208,19 @@ def diagnostics_quality(events: DataFrame) -> DataFrame:
         "errors_without_traceback": error & ~trace, "exceptions_with_traceback": bad & trace,
         "records_stored_total": F.col("stored"), "problem_events_stored": F.col("stored") & bad,
         "timeline_events_stored": F.col("stored") & ~bad, "repeat_events_compacted": ~F.col("stored"),
+        # a signature holds the level, so all its events are problems or none
+        "unique_problem_signatures_total": bad & (F.col("occurrence") == 1),
     }
-    return seen.groupBy("session_id").agg(
+    problem = F.when(bad & F.col("signature").isNotNull(), F.struct("sequence", "signature", (F.col("occurrence") > 1).alias("again")))
+    blocks = seen.groupBy("session_id", "_part").agg(
         *[F.count_if(test).alias(name) for name, test in counts.items()],
-        F.count_distinct(F.when(bad, F.col("signature"))).alias("unique_problem_signatures_total"),
-        F.coalesce(F.sum(F.when(~F.col("stored"), size)), F.lit(0)).alias("estimated_bytes_saved"))
+        F.sum(F.when(~F.col("stored"), size)).alias("estimated_bytes_saved"), F.collect_list(problem).alias("_problems"))
+    blocks = blocks.withColumn("_latest", _latest_of_block("_problems", recent))
+    return blocks.groupBy("session_id").agg(
+        *[F.sum(name).alias(name) for name in counts],
+        F.coalesce(F.sum("estimated_bytes_saved"), F.lit(0)).alias("estimated_bytes_saved"),
+        F.collect_list(F.struct(F.col("_part").alias("block"), F.col("_latest").alias("latest"))).alias("_blocks")).withColumn(
+        "problem_signatures_outside_recent_window", _gone_in_session("_blocks", recent)).drop("_blocks")
 
 
 def signature_rollup(events: DataFrame) -> DataFrame:

@@ -56,13 +56,13 @@ RANKED = """SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE p
 CHAIN = {"diag": DIAG, "occ": OCC, "stored": STORED, "carry": CARRY, "roll": ROLL, "recent": RECENT, "cards": CARDS, "ranked": RANKED}
 
 
-def _upto(last: str, body: str) -> str:
+def _upto(last: str, body: str, **more: str) -> str:
     steps = {}
     for name, query in CHAIN.items():
         steps[name] = query
         if name == last:
             break
-    return with_views(body, "v_ev", **steps)
+    return with_views(body, "v_ev", **steps, **more)
 
 
 def _diagnosed(spark, sf):
@@ -138,15 +138,32 @@ QUALITY = """SELECT session_id, count(*) AS events_total, count(*) FILTER (is_pr
         count(*) FILTER (stored AND NOT is_problem) AS timeline_events_stored, count(*) FILTER (NOT stored) AS repeat_events_compacted,
         count(DISTINCT signature) FILTER (is_problem) AS unique_problem_signatures_total,
         coalesce(sum(length('{"session_id":' || session_id || ',"sequence":' || sequence || ',"level":"' || level || '","event":"' || event
-            || '","message":"' || message || '","signature":"' || signature || '"}')) FILTER (NOT stored), 0) AS estimated_bytes_saved
-        FROM carry GROUP BY session_id"""
+            || '","message":"' || message || '","signature":"' || signature || '"}')) FILTER (NOT stored), 0) AS estimated_bytes_saved,
+        any_value(coalesce(g.n, 0)) AS problem_signatures_outside_recent_window
+        FROM carry LEFT JOIN gone g USING (session_id) GROUP BY session_id"""
 
+def _gone(others: int) -> str:
+    """Problems that come back after so many others, counted pair by pair: others whose next sighting is not before the return."""
+    return f"""SELECT session_id, count(*) AS n FROM (
+        SELECT a.session_id, a.sequence FROM p a JOIN p b ON b.session_id = a.session_id AND b.sequence > a.before AND b.sequence < a.sequence
+        AND (b.after IS NULL OR b.after > a.sequence) GROUP BY ALL HAVING count(*) >= {others}) GROUP BY session_id"""
 
-@register("diagnostics_quality", _upto("carry", QUALITY))
+
+SIGHTINGS = """SELECT session_id, sequence, lag(sequence) OVER w AS before, lead(sequence) OVER w AS after FROM carry WHERE is_problem WINDOW w AS (PARTITION BY session_id, signature ORDER BY sequence)"""
+
+
+@register("diagnostics_quality", _upto("carry", QUALITY, p=SIGHTINGS, gone=_gone(20)))
 def _(spark, sf):
     return ev.diagnostics_quality(_diagnosed(spark, sf))
 
 
+@register("problems_outside_window", _upto("carry", """SELECT session_id, coalesce(g.n, 0) AS problem_signatures_outside_recent_window
+    FROM (SELECT DISTINCT session_id FROM carry) LEFT JOIN gone g USING (session_id)""", p=SIGHTINGS, gone=_gone(5)))
+def _(spark, sf):
+    """The same count for a list of five, which the sessions of the table overflow."""
+    return ev.diagnostics_quality(_diagnosed(spark, sf), recent=5).select("session_id", "problem_signatures_outside_recent_window")
+
+
 @register("signature_rollup", _upto("roll", """SELECT session_id, signature, occurrences_total, stored_samples, event, level, message,
     category, stage, input_path, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(last_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, first_sequence, last_sequence FROM roll"""))
 def _(spark, sf):

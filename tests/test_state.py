@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuelog.functions.numbers import round_exact
@@ -32,6 +33,31 @@ def test_repeats_and_cards(spark):
     assert card.priority == "medium" and card.stage == "translation"
 
 
+@pytest.mark.parametrize("block", [1, 7, 50000])
+def test_problems_that_come_back(spark, monkeypatch, block):
+    """Against a plain list of the problems seen last, with blocks of several sizes."""
+    monkeypatch.setattr(ev, "BLOCK_ROWS", block)
+    draw = random.Random(block)
+    rows, want = [], {}
+    for session in "abc":
+        recent, times, want[session] = [], {}, 0
+        for i in range(120):
+            kind = draw.choice("pqrstuvw"[:3 + ord(session) % 97 * 3 + i % 3])
+            level = draw.choice(["warning", "error", "info"])
+            rows.append((session, i, level, f"event_{kind}", "m", None, None, None))
+            if level == "info":
+                continue
+            name = (kind, level)
+            want[session] += name not in recent and times.get(name, 0) > 0
+            times[name] = times.get(name, 0) + 1
+            recent = ([x for x in recent if x != name] + [name])[-4:]
+    rows.append(("quiet", 0, "info", "event_p", "m", None, None, None))
+    got = {r.session_id: r for r in ev.diagnostics_quality(ev.diagnose(_log(spark, rows)), recent=4).collect()}
+    assert {s: r.problem_signatures_outside_recent_window for s, r in got.items()} == want | {"quiet": 0} and sum(want.values()) > 50
+    assert got["c"].unique_problem_signatures_total == len({(r[2], r[3]) for r in rows if r[0] == "c" and r[2] != "info"})
+    assert ev.diagnostics_quality(ev.diagnose(_log(spark, []))).count() == 0
+
+
 def test_stored_of_equals_flags(spark):
     df = spark.range(1, 1300).select(F.lit("tts_retry").alias("event"), F.col("id").alias("occurrence"))
     flags = [r[0] for r in df.orderBy("occurrence").select(ev.stored_occurrence()).collect()]
